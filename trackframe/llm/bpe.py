@@ -13,9 +13,11 @@ own, that rank is replayed before the places that are left.
 from __future__ import annotations
 
 import base64
-import heapq
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
+from heapq import heappop, heappush
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import small_batches, utf8
 
 #: Pieces whose ids a worker keeps from block to block; beyond it the store is begun anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 500_000
+#: Greater than every id: a pair of tokens is one number.
+SIDE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,78 +46,123 @@ class Vocabulary:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.token = {i: t for t, i in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, left: int, right: int) -> int | None:
-        """The id of the token that the two make, if there is one."""
-        pair = (left, right)
-        if pair not in self.pairs:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[pair] = self.ranks.get(self.token[left] + self.token[right])
-        return self.pairs[pair]
-
-    def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of every piece: all merges in rank order over all pieces at once."""
-        token, left, right = [], [], []
-        for piece in pieces:
-            first = len(token)
-            token += [self.byte[b] for b in piece]
-            left += [-1, *range(first, len(token) - 1)] if piece else []
-            right += [*range(first + 1, len(token)), -1] if piece else []
-        index: dict[int, list[int]] = {}  # rank of the merge -> places of its left token
-        merged = self.merged
-        for k, r in enumerate(right):
-            if r >= 0 and (rank := merged(token[k], token[r])) is not None:
-                index.setdefault(rank, []).append(k)
-        queue = list(index)
-        heapq.heapify(queue)
-
-        def add(rank: int, place: int) -> None:
-            if rank not in index:
-                index[rank] = []
-                heapq.heappush(queue, rank)
-            index[rank].append(place)
+        self.forget()
+
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """left * SIDE + right -> the token that the two make, for every way to cut a token in two tokens."""
+        get, out = self.ranks.get, {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                left = get(token[:k])
+                if left is not None and (right := get(token[k:])) is not None:
+                    out[left * SIDE + right] = rank
+        return out
 
+    @cached_property
+    def byte_tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The token of each byte, and the rank of each pair of bytes (-1: none)."""
+        token = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        pair = [[self.merges.get(int(a) * SIDE + int(b), -1) for b in token] for a in token]
+        return token, np.array(pair, np.int64)
+
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All merges in rank order over all pieces at once: the ids of the pieces, end to end, and how many each has."""
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        if not len(flat):
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
+        single, pair = self.byte_tables
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        n = len(flat)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends[ends > 0] - 1] = -1
+        before[ends[ends < n]] = -1
+        first = np.full(n, -1, np.int64)
+        first[:-1] = np.where(after[:-1] >= 0, pair[flat[:-1], flat[1:]], -1)
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        found, start = np.unique(first[places], return_index=True)
+        index = dict(zip(found.tolist(), map(np.ndarray.tolist, np.split(places, start[1:]))))  # rank -> places of the left token
+        token, right, left, now = single[flat].tolist(), after.tolist(), before.tolist(), first.tolist()
+        merged = self.merges.get
+        queue = list(index)
         while queue:
-            rank = heapq.heappop(queue)
+            rank = heappop(queue)
             places = index.pop(rank)
             places.sort()  # in a run of equal tokens the leftmost pair merges first
+            lower = False
             for at, k in enumerate(places):
-                r = right[k]
-                if token[k] < 0 or r < 0 or merged(token[k], token[r]) != rank:
+                if now[k] != rank:
                     continue  # a neighbour's merge took one of the two
-                token[k], token[r] = rank, -1
-                after = right[k] = right[r]
-                if after >= 0:
-                    left[after] = k
-                    if (new := merged(rank, token[after])) is not None:
-                        add(new, k)
-                if (before := left[k]) >= 0 and (new := merged(token[before], rank)) is not None:
-                    add(new, before)
-                if queue and queue[0] < rank:
-                    for later in places[at + 1 :]:
-                        add(rank, later)
+                r = right[k]
+                token[k] = rank
+                token[r] = now[r] = -1
+                then = right[k] = right[r]
+                if then >= 0:
+                    left[then] = k
+                    new = now[k] = merged(rank * SIDE + token[then], -1)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(k)
+                        else:
+                            index[new] = [k]
+                            heappush(queue, new)
+                            lower |= new < rank
+                else:
+                    now[k] = -1
+                prior = left[k]
+                if prior >= 0:
+                    new = now[prior] = merged(token[prior] * SIDE + rank, -1)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(prior)
+                        else:
+                            index[new] = [prior]
+                            heappush(queue, new)
+                            lower |= new < rank
+                if lower:
+                    rest = places[at + 1 :]
+                    if rest:
+                        index[rank] = index.get(rank, []) + rest
+                        if len(index[rank]) == len(rest):
+                            heappush(queue, rank)
                     break
-        out, k = [], 0
-        for piece in pieces:
-            out.append(tuple(t for t in token[k : k + len(piece)] if t >= 0))
-            k += len(piece)
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of every text."""
+        ids = np.array(token, np.int32)
+        kept = ids >= 0
+        upto = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+        return ids[kept], np.diff(upto)
+
+    def forget(self) -> None:
+        """Empty the store of known pieces: a number for each, and its ids in one long array."""
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids, self.first, self.many = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self) -> None:
+        """Encode the pieces that have a number but no ids yet. A piece that is a token as a whole is that token."""
+        new = [piece.encode() for piece in islice(self.place, len(self.many), None)]
+        whole = np.fromiter((self.ranks.get(raw, -1) for raw in new), np.int32, len(new))
+        cut, many = self.replay([raw for raw, w in zip(new, whole.tolist()) if w < 0])
+        counts = np.ones(len(new), np.int64)
+        counts[whole < 0] = many
+        ids = np.empty(counts.sum(), np.int32)
+        by_merge = np.repeat(whole < 0, counts)
+        ids[by_merge], ids[~by_merge] = cut, whole[whole >= 0]
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids, self.many = np.concatenate([self.ids, ids]), np.concatenate([self.many, counts])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and the place where each text's end."""
         cut = [self.pattern.findall(text) for text in texts]
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        new = [(piece, piece.encode()) for piece in set(chain.from_iterable(cut)).difference(self.known)]
-        self.known.update((piece, (self.ranks[raw],)) for piece, raw in new if raw in self.ranks)
-        new = [(piece, raw) for piece, raw in new if raw not in self.ranks]
-        self.known.update(zip((piece for piece, _ in new), self.replay([raw for _, raw in new])))
-        known = self.known
-        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
+        if len(self.place) > KEPT_PIECES:
+            self.forget()
+        pieces = np.cumsum([0, *map(len, cut)])
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, pieces[-1])
+        del cut
+        self.learn()
+        n = self.many[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        spread = np.repeat(self.first[at] - upto[:-1], n) + np.arange(upto[-1])
+        return self.ids[spread], upto[pieces]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -152,13 +201,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for k, text in enumerate(texts):
                 chars += len(text)
                 if chars > BLOCK_CHARS or k == len(texts) - 1:
-                    made = words.encode(texts[first : k + 1])
-                    flat = np.fromiter(chain.from_iterable(made), np.int32, sum(map(len, made)))
-                    ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[first : k + 1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                        names=["doc_id", "ids"],
-                    )
+                    flat, ends = words.encode(texts[first : k + 1])
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first : k + 1], lists], names=["doc_id", "ids"])
                     first, chars = k + 1, 0
 
     return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(
