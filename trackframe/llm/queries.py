@@ -130,4 +130,93 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: SQL for those that SQL can express; the others are tested against brute force, a library or held-out rows.
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": f"""
+WITH split AS MATERIALIZED (
+  SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, k, md5(array_to_string(ws[k:k + 49], ' ')) AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM split WHERE len(ws) >= 50)
+), firsts AS (
+  SELECT w, min(doc_id) AS low FROM windows GROUP BY w
+), gone AS (
+  SELECT doc_id, list(k ORDER BY k) AS starts FROM windows JOIN firsts USING (w) WHERE doc_id > low GROUP BY doc_id
+), covered AS (
+  SELECT doc_id, list(DISTINCT k + j) AS at
+  FROM (SELECT doc_id, unnest(starts) AS k FROM gone), range(50) AS r(j) GROUP BY doc_id
+), places AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM split
+), marked AS (
+  SELECT doc_id, unnest(at) AS p, true AS cut FROM covered
+), texts AS (
+  SELECT doc_id, count(*) AS n_words, count(cut) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE cut IS NULL), '') AS kept
+  FROM places LEFT JOIN marked USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN texts USING (doc_id)
+""",
+    "op8_source_mix": f"""
+WITH sized AS (
+  SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")})::BIGINT AS size,
+         md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS ord
+  FROM documents
+), held AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, sum(3 * source_size) OVER o AS capped, sum(weight) OVER o AS capped_weight,
+         sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+  FROM held
+  WINDOW o AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), judged AS (
+  SELECT *, (total - (capped - 3 * source_size)) * weight > 3 * source_size * (weights - (capped_weight - weight)) AS over
+  FROM ranked
+), level AS (
+  SELECT any_value(total) - coalesce(sum(3 * source_size) FILTER (WHERE over), 0) AS rest,
+         any_value(weights) - coalesce(sum(weight) FILTER (WHERE over), 0) AS open
+  FROM judged
+), wanted AS (
+  SELECT source, source_size,
+         CASE WHEN over THEN (3 * source_size)::DOUBLE ELSE (rest * weight)::DOUBLE / open::DOUBLE END AS target,
+         CASE WHEN over THEN (3 * source_size)::BIGINT ELSE ((rest * weight) // open)::BIGINT END AS quota
+  FROM judged, level
+), ordered AS (
+  SELECT sized.*, source_size, target, quota, quota // greatest(source_size, 1) AS full_passes,
+         quota % greatest(source_size, 1) AS rest,
+         sum(size) OVER (PARTITION BY sized.source ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM sized JOIN wanted ON sized.source IS NOT DISTINCT FROM wanted.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (full_passes + CASE WHEN before + size <= rest THEN 1
+                                   WHEN before < rest AND 2 * (rest - before) >= size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered
+""",
+    "op10_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), heads AS (
+  SELECT *, replace(replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '### ', '\2'), chr(10), '\3'), ':', '\4') AS head,
+         bool_or(contains(text, '</turn>')) OVER (PARTITION BY conv_id) AS broken,
+         contains(text, '</turn>') OR contains(text, '### ') AS own
+  FROM rows
+), turns AS (
+  SELECT *, CASE WHEN broken AND own THEN length(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2')) + 1
+                 ELSE length(text) END AS body
+  FROM heads
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(head) + 2 + body + 8)::BIGINT AS formatted_chars,
+       true AS round_trip
+FROM turns GROUP BY conv_id
+""",
+}
