@@ -101,6 +101,12 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     )
 
 
+#: Rows that go out have four columns: k by which they are shuffled, c, rid and kind. A row that others must judge
+#: has its hash in k. One that its batch has judged (kind SETTLED) has the document in k and the hash in c.
+SETTLED = 2
+ROWS = "k long, c long, rid long, kind byte"
+
+
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +126,11 @@ def _anchor_rows(window: int):
             yield _batch(
                 [
                     np.concatenate([h[first].view(np.int64), rid[known]]),
-                    np.concatenate([h[first], h[known]]),
+                    np.concatenate([np.zeros(first.sum(), np.int64), h[known].view(np.int64)]),
                     np.concatenate([rid[first], rid[known]]),
-                    np.concatenate([known[first].astype(np.int8), np.full(known.sum(), 2, np.int8)]),
+                    np.concatenate([known[first].astype(np.int8), np.full(known.sum(), SETTLED, np.int8)]),
                 ],
-                ["k", "h", "rid", "kind"],
+                ["k", "c", "rid", "kind"],
             )
 
     return run
@@ -140,7 +146,7 @@ def _window_rows(window: int):
                 here = around(at[np.isin(made, np.array(hits, np.int64).view(np.uint64))], len(hashed) - window + 1, window)
                 w1, which = np.unique(window_hashes(hashed, window)[here], return_index=True)
                 one.append(w1)
-                two.append(window_hashes(hashed, window, _BASES[1])[here][which])
+                two.append(window_hashes(hashed, window, _BASES[1])[here][which] >> np.uint64(32))
                 owners.append(np.full(len(w1), rid, np.int64))
             if not one:
                 continue
@@ -152,12 +158,11 @@ def _window_rows(window: int):
             yield _batch(
                 [
                     np.concatenate([w1[first].view(np.int64), rid[later]]),
-                    np.concatenate([w1[first], w1[later]]),
-                    np.concatenate([w2[first], w2[later]]),
+                    np.concatenate([w2[first].view(np.int64), w1[later].view(np.int64)]),
                     np.concatenate([rid[first], rid[later]]),
-                    np.concatenate([np.zeros(first.sum(), np.int8), np.full(later.sum(), 2, np.int8)]),
+                    np.concatenate([np.zeros(first.sum(), np.int8), np.full(later.sum(), SETTLED, np.int8)]),
                 ],
-                ["k", "w1", "w2", "rid", "kind"],
+                ["k", "c", "rid", "kind"],
             )
 
     return run
@@ -216,7 +221,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, carry: Sequence[str] = (
     columns are ignored, and an empty table gives an empty result. ``window`` must be
     greater than the cover's period (31).
 
-    Windows are told apart by two 64-bit hashes. Shuffled are the anchors, the windows
+    Windows are told apart by 96 bits of two hashes. Shuffled are the anchors, the windows
     around shared anchors, and the texts once, by doc_id, for both passes that read them.
     """
     if window <= PERIOD:
@@ -226,24 +231,23 @@ def dedup_substrings(docs: DataFrame, window: int = 50, carry: Sequence[str] = (
     base = docs.select(rid, utf8("text").alias("_utf8"), *carry)
     texts = base.select("_rid", "_utf8")
 
-    found = texts.mapInArrow(_anchor_rows(window), "k long, h long, rid long, kind byte")
+    found = texts.mapInArrow(_anchor_rows(window), ROWS)
     same = Window.partitionBy("k")
     shared = (
         found.withColumn("low", F.min("rid").over(same))
         .withColumn("high", F.max("rid").over(same))
         .withColumn("known", F.max("kind").over(same))
-        .where("kind = 2 or low < high or known = 1")
+        .where((F.col("kind") == SETTLED) | (F.col("low") < F.col("high")) | (F.col("known") == 1))
     )
-    hits = shared.groupBy("rid").agg(F.collect_set("h").alias("hits"))
+    hashed = F.when(F.col("kind") == SETTLED, F.col("c")).otherwise(F.col("k"))
+    hits = shared.groupBy("rid").agg(F.collect_set(hashed).alias("hits"))
 
     # Both joins read the same columns of base, so that its exchange is used twice.
     wide = base.join(hits, base["_rid"] == hits["rid"]).select("_rid", "_utf8", "hits", *carry)
-    seen = wide.mapInArrow(_window_rows(window), "k long, w1 long, w2 long, rid long, kind byte")
-    alike = Window.partitionBy("k", "w2")
-    gone = seen.withColumn("low", F.min(F.when(F.col("kind") == 0, F.col("rid"))).over(alike)).where(
-        "kind = 2 or rid > low"
-    )
-    marks = gone.groupBy("rid").agg(F.collect_set("w1").alias("gone"))
+    seen = wide.mapInArrow(_window_rows(window), ROWS)
+    alike = Window.partitionBy("k", "c", "kind")
+    gone = seen.withColumn("low", F.min("rid").over(alike)).where((F.col("kind") == SETTLED) | (F.col("rid") > F.col("low")))
+    marks = gone.groupBy("rid").agg(F.collect_set(hashed).alias("gone"))
     schema = T.StructType([*T.StructType.fromDDL(OUT), *docs.select(*carry).schema])
     rows = base.join(marks, base["_rid"] == marks["rid"], "left").select("_rid", "_utf8", "gone", *carry)
     return rows.mapInArrow(_cut_rows(window, carry, tidy), schema)
