@@ -36,8 +36,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     ``links`` has two long columns a and b. Alternates two steps until nothing
     changes: every node hands its greater neighbours to its smallest one, then every
     node and its smaller neighbours go to the smallest. The number of rounds grows
-    with the logarithm of the longest path. Both steps are an aggregate and a join,
-    so that a node with very many links is split as a skewed join is.
+    with the logarithm of the longest path. Both steps are an aggregate and a join. The
+    aggregate is written before it is joined: then both sides of the join are plain
+    exchanges, and Spark can split the rows of a node with very many links.
     """
     edges = cut(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -49,10 +50,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         inner = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(inner.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = mark(edges)
