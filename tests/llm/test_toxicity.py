@@ -47,9 +47,9 @@ def test_later_models_train_on_out_of_fold_probabilities(monkeypatch):
         return real(x, earlier, y, settings)
 
     monkeypatch.setattr(toxicity, "fit_linear", spy)
-    texts = [{f"w{k % 7}", "bad" if k % 3 else "good"} for k in range(50)]
+    rows = [np.array([k % 7, 7 if k % 3 else 8]) for k in range(50)]
     labels = np.array([[k % 3 > 0, k % 7 == 0] for k in range(50)], float)
-    Chain.fit(texts, labels, ["a", "b"], Settings(least_docs=1, steps=20))
+    Chain.fit(rows, [f"w{k}" for k in range(9)], labels, ["a", "b"], Settings(least_docs=1, steps=20))
     assert [s[:2] for s in seen] == [(40, 0)] * 5 + [(50, 0)] + [(40, 1)] * 5 + [(50, 1)]
 
 

@@ -9,6 +9,7 @@ training, the earlier probabilities come from models that did not see the docume
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,11 +25,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_train_docs`` bounds the labelled rows of each value of each category that are fitted."""
+    """``max_train_docs`` bounds the labelled rows of each combination of values that are fitted, ``max_vocabulary`` the features that are weighed."""
 
     max_train_docs: int = 3_000
     folds: int = 5
     features: int = 3_000
+    max_vocabulary: int = 100_000
     least_docs: int = 4
     prefixes: tuple[int, ...] = (5, 6)
     penalty: float = 0.3
@@ -126,19 +128,13 @@ class Chain:
     settings: Settings
 
     @classmethod
-    def fit(cls, texts: list[set[str]], labels: np.ndarray, categories: Sequence[str], settings: Settings) -> Chain:
-        """``labels`` has a column of 0/1 for each category, in the order of the chain."""
-        seen: dict[str, int] = {}
-        for found in texts:
-            for feature in found:
-                seen[feature] = seen.get(feature, 0) + 1
-        names = sorted(f for f, n in seen.items() if n >= settings.least_docs)
-        place = {f: k for k, f in enumerate(names)}
-        x = Sparse([np.array(sorted(place[f] for f in found if f in place), np.int64) for found in texts], len(names))
-        fold = np.arange(len(texts)) % settings.folds
-        earlier, models, thresholds = np.zeros((len(texts), 0)), [], []
+    def fit(cls, rows: list[np.ndarray], names: list[str], labels: np.ndarray, categories: Sequence[str], settings: Settings) -> Chain:
+        """``rows`` has the places in ``names`` of each text's features; ``labels`` a column of 0/1 for each category, in chain order."""
+        x = Sparse(rows, len(names))
+        fold = np.arange(len(rows)) % settings.folds
+        earlier, models, thresholds = np.zeros((len(rows), 0)), [], []
         for k in range(len(categories)):
-            y, p = labels[:, k].astype(float), np.zeros(len(texts))
+            y, p = labels[:, k].astype(float), np.zeros(len(rows))
             for f in range(settings.folds):
                 rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if len(own) and len(rest):
@@ -182,31 +178,40 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], settin
             same = same.where(F.col(flag) == value)
         parts.append(same.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_train_docs))
     if not parts:
-        return Chain.fit([], np.zeros((0, len(categories))), list(categories), settings)
+        return Chain.fit([], [], np.zeros((0, len(categories))), list(categories), settings)
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    prefixes = settings.prefixes
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *flags).dropDuplicates(["doc_id", "text"])
+    sample = cut(sample)
+    prefixes, least = settings.prefixes, settings.least_docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = ["\n".join(sorted(features_of(t, prefixes))) for t in batch.column(1).to_pylist()]
+            seen = Counter(f for t in batch.column(0).to_pylist() for f in features_of(t, prefixes))
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "n"])
+
+    counts = sample.select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    common = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(settings.max_vocabulary)
+    names = sorted(r["f"] for r in common.collect())
+    place = {f: k for k, f in enumerate(names)}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sorted(place[f] for f in features_of(t, prefixes) if f in place) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.string()), *(batch.column(2 + k) for k in range(len(flags)))],
+                [batch.column(0), pa.array(made, pa.list_(pa.int32())), *(batch.column(2 + k) for k in range(len(flags)))],
                 names=["doc_id", "features", *flags],
             )
 
-    rows = (
-        texts.join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", *flags)
-        .mapInArrow(run, "doc_id long, features string, " + ", ".join(f"{f} int" for f in flags))
-        .dropDuplicates(["doc_id", "features"])
-        .toPandas()
-    )
-    rows = rows.sort_values(["doc_id", "features"], kind="stable")
-    found = [set(x.split("\n")) - {""} for x in rows["features"]]
-    return Chain.fit(found, rows[flags].to_numpy(float), list(categories), settings)
+    table = sample.mapInArrow(find, "doc_id long, features array<int>, " + ", ".join(f"{f} int" for f in flags)).toArrow()
+    order = sorted(range(table.num_rows), key=lambda k, ids=table["doc_id"].to_pylist(): (ids[k], k))
+    lists = table["features"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    rows = [flat[ends[k] : ends[k + 1]].astype(np.int64) for k in order]
+    values = np.column_stack([table[f].to_numpy()[order] for f in flags]).astype(float) if rows else np.zeros((0, len(flags)))
+    return Chain.fit(rows, names, values, list(categories), settings)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
