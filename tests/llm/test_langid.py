@@ -57,7 +57,7 @@ def test_unseen_words_are_kept_within_bounds(monkeypatch):
     scorer = model.scorer()
     for k in range(4):
         scorer.predict(" ".join("".join("abcdefghij"[int(d)] for d in str(j)) for j in range(k * 25_000, k * 25_000 + 25_000)).encode())
-    assert len(scorer.place) <= 60_001
+    assert len(scorer.unseen) <= 60_000
 
 
 def test_no_training_rows_and_empty_table(spark):

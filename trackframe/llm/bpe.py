@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import small_batches, utf8
 
 #: Pieces whose ids a worker keeps from block to block; beyond it the store is begun anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 200_000
 #: Greater than every id: a pair of tokens is one number.
 SIDE = 1 << 20
 
@@ -179,7 +179,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 #: Characters that are encoded at once.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows in one Arrow batch. Texts may be long, so batches hold few of them.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -41,7 +41,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def utf8(column: str | Column) -> Column:

@@ -34,8 +34,8 @@ class Settings:
     """
 
     max_train_docs: int = 20_000
-    max_words: int = 150_000
-    max_grams: int = 100_000
+    max_words: int = 100_000
+    max_grams: int = 60_000
     longest_gram: int = 5
     smoothing: float = 0.5
     full_words: int = 12
@@ -51,39 +51,41 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by word and n-gram; rows of ``scores`` are vectors over the languages."""
+    """Log frequencies by word and n-gram: the place of each in one table, whose rows are vectors over the languages."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], settings: Settings):
-        self.langs, self.settings = langs, settings
-        self.words = {w: k for k, w in enumerate(words)}
-        self.grams = grams
-        self.scores = np.array(list(words.values()), np.float64).reshape(len(words), max(len(langs), 1))
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, settings: Settings):
+        self.langs, self.words, self.grams, self.table, self.settings = langs, words, grams, table, settings
 
     @classmethod
     def fit(cls, word_counts: list[tuple], gram_counts: list[tuple], langs: list[str], settings: Settings) -> Model:
         """Counts are (lang, text, n); each n-gram length is a distribution of its own."""
-        place = {lang: k for k, lang in enumerate(langs)}
-
-        def logs(counts: list[tuple]) -> dict[str, np.ndarray]:
-            table: dict[str, np.ndarray] = {}
+        lang_place = {lang: k for k, lang in enumerate(langs)}
+        parts: list[np.ndarray] = [np.zeros((0, max(len(langs), 1)))]
+
+        def logs(counts: list[tuple], first: int) -> dict[str, int]:
+            places: dict[str, int] = {}
+            for text in sorted({c[1] for c in counts}):
+                places[text] = len(places)
+            table = np.zeros((len(places), len(langs)))
             for lang, text, n in counts:
-                table.setdefault(text, np.zeros(len(langs)))[place[lang]] += n
-            if not table:
-                return {}
-            total = sum(table.values()) + settings.smoothing * len(table)
-            return {t: np.log((v + settings.smoothing) / total) for t, v in sorted(table.items())}
-
-        grams: dict[str, np.ndarray] = {}
+                table[places[text], lang_place[lang]] += n
+            if places:
+                total = table.sum(axis=0) + settings.smoothing * len(places)
+                parts.append(np.log((table + settings.smoothing) / total))
+            return {text: first + k for text, k in places.items()}
+
+        words = logs(word_counts, 0)
+        grams: dict[str, int] = {}
         for n in range(1, settings.longest_gram + 1):
-            grams |= logs([c for c in gram_counts if len(c[1]) == n])
-        return cls(langs, logs(word_counts), grams, settings)
+            grams |= logs([c for c in gram_counts if len(c[1]) == n], len(words) + len(grams))
+        return cls(langs, words, grams, np.concatenate(parts).astype(np.float32), settings)
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(self.settings.longest_gram, 0, -1):
             known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if known:
-                return sum(known) / len(known)
-        return np.zeros(len(self.langs))
+                return self.table[known].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -92,20 +94,19 @@ class Model:
 class Scorer:
     """Predicts with a model; keeps the vectors of unseen words up to a bound."""
 
-    KEPT = 300_000
+    KEPT = 100_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.place = dict(self.model.words)
-        self.table = np.zeros((len(self.place) + self.KEPT, max(len(self.model.langs), 1)))
-        self.table[: len(self.place)] = self.model.scores
+        self.unseen: dict[str, int] = {}
+        self.table = np.zeros((len(model.table) + self.KEPT, max(len(model.langs), 1)), np.float32)
+        self.table[: len(model.table)] = model.table
 
     def add(self, word: str) -> int:
-        k = self.place[word] = len(self.place)
-        self.table[k] = self.model.backoff(word)
+        k = self.unseen.get(word)
+        if k is None:
+            k = self.unseen[word] = len(self.model.table) + len(self.unseen)
+            self.table[k] = self.model.backoff(word)
         return k
 
     def predict(self, raw: bytes | None) -> tuple[str, float]:
@@ -115,11 +116,11 @@ class Scorer:
         sums = np.zeros(len(self.model.langs))
         for first in range(0, len(words), 50_000):
             part = words[first : first + 50_000]
-            if len(self.place) + len(part) > len(self.table):
-                self.reset()
-            get, add = self.place.get, self.add
+            if len(self.unseen) + len(part) > self.KEPT:
+                self.unseen.clear()
+            get, add = self.model.words.get, self.add
             at = [k if (k := get(w)) is not None else add(w) for w in part]
-            sums += self.table[at].sum(axis=0)
+            sums += self.table[at].sum(axis=0, dtype=np.float64)
         logits = sums / len(words) * min(len(words), self.model.settings.full_words)
         best = int(np.argmax(logits))
         return self.model.langs[best], float(1 / np.exp(logits - logits[best]).sum())

@@ -33,7 +33,7 @@ from trackframe.llm.components import connected_components, stars
 #: Runs up to this long are compared in bulk; in longer ones whatever is linked is taken out at once.
 SHORT_RUN = 256
 #: Pairs compared at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
