@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from trackframe.catalog.base import query, r6
 from trackframe.streaming import events, running, tracks
 
-N = F.count("*").alias("n")
-
-
 def _total() -> list:
-    return [N, r6(F.sum("value"), "total")]
+    return [F.count("*").alias("n"), r6(F.sum("value"), "total")]
 
 
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:

@@ -98,7 +98,8 @@ def midpoint(a: Column, b: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    """Null stays null (least and greatest alone would skip it)."""
+    return let(lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))), x)
 
 
 def wrap_angle(x: Column) -> Column:

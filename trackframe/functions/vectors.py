@@ -68,7 +68,7 @@ def slerp(a: Column, b: Column, t: Column | float, unit: bool = True) -> Column:
         return F.when(w["near"], lerp(a, b, t, unit)).otherwise(normalized(mixed) if unit else mixed)
 
     def weights(angle: Column) -> Column:
-        wa, wb = F.sin((1 - t) * angle) / F.sin(angle), F.sin(t * angle) / F.sin(angle)
+        wa, wb = F.try_divide(F.sin((1 - t) * angle), F.sin(angle)), F.try_divide(F.sin(t * angle), F.sin(angle))
         return F.struct(wa.alias("a"), wb.alias("b"), (angle < 1e-6).alias("near"))
 
     def arc(a: Column, b: Column) -> Column:
