@@ -40,7 +40,7 @@ def test_held_out_accuracy_and_training_rows(spark):
 def test_word_first_then_shorter_grams():
     settings = Settings(longest_gram=3)
     words = [("x", "same", 90), ("y", "same", 10), ("x", "other", 50), ("y", "other", 50)]
-    grams = [("y", "sam", 99), ("x", "zq", 9), ("y", "zq", 1), ("y", "z", 50), ("x", "k", 5), ("y", "k", 1)]
+    grams = [("y", "sam", 99), ("x", "oth", 60), ("y", "oth", 1), ("x", "zq", 9), ("y", "zq", 1), ("y", "z", 50), ("x", "k", 5), ("y", "k", 1)]
     model = Model.fit(words, grams, ["x", "y"], settings)
     scorer = model.scorer()
     assert scorer.predict(b"same")[0] == "x"  # the word itself, not its trigram
