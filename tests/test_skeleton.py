@@ -74,6 +74,13 @@ def test_flat_normalising_and_gaps():
     assert (filled[5] == 0).all()
 
 
+def test_normalised_tracks(spark):
+    kp = [(float(p % 2), float(p), 0.9) for p in range(17)]
+    df = spark.createDataFrame([(1, k, kp) for k in range(3)], "track_id int, frame_idx int, kp2d array<struct<x:double,y:double,conf:double>>")
+    out = sk.normalise_tracks(df, ["track_id"], ["frame_idx"]).collect()
+    assert len(out) == 3 and all(x.valid and len(x.positions) == 22 for x in out)
+
+
 def test_frames_from_persons_and_lift(spark):
     rows = [(1, k, k / 30, [(0.5 + k * 0.01 + (p % 2) * 0.05, 0.2 + p * 0.04, 0.9) for p in range(17)]) for k in range(8)]
     df = spark.createDataFrame(rows, "track_id int, frame_idx int, ts double, kp array<struct<x:double,y:double,conf:double>>")

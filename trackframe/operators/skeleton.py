@@ -201,8 +201,9 @@ def fill_joints(pos: np.ndarray, conf: np.ndarray, valid: np.ndarray) -> tuple[n
 
 def normalise_tracks(df: DataFrame, by: Names, order: Names, kp: str = "kp2d", least: float = 0.3, reference: str = "torso", interpolate: bool = True) -> DataFrame:
     """Key, order, ``positions`` (22 places), ``confidence`` (22) and ``valid`` of every frame; a grouped map over tracks."""
+    numbers = T.ArrayType(T.DoubleType())
     schema = T.StructType([*df.select(*by, *order).schema])
-    schema = schema.add("positions", "array<array<double>>").add("confidence", "array<double>").add("valid", "boolean")
+    schema = schema.add("positions", T.ArrayType(numbers)).add("confidence", numbers).add("valid", T.BooleanType())
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order), kind="stable")

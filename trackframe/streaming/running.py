@@ -38,14 +38,14 @@ class _Listener(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
-        if self.id in (None, event.progress.id):
+        if self.id in (None, str(event.progress.id)):
             self.stats.take(event.progress)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        if self.done and self.id in (None, event.id):
+        if self.done and self.id in (None, str(event.id)):
             self.done(event.exception)
 
 
@@ -69,7 +69,7 @@ class Run:
         if available_now:
             writer = writer.trigger(availableNow=True)
         self.query = writer.start()
-        self._listener.id = self.query.id
+        self._listener.id = str(self.query.id)
         return self
 
     def wait(self, seconds: float | None = None) -> bool:
