@@ -73,7 +73,8 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(document_paths(read(spark, sf_dir, "documents")))
+    out = licenses.scan_licenses(document_paths(read(spark, sf_dir, "documents")))
+    return out.withColumn("cosine", F.round("cosine", 6))
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +133,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _license_sql() -> str:
+    """The scan of documents as SQL: the templates' weights are a table."""
+    known = licenses.Templates(licenses.TEMPLATES)
+    idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in known.idf.items())
+    vectors = ", ".join(f"('{name}', '{t}', {w!r}::DOUBLE)" for name, v in known.vectors.items() for t, w in v.items())
+    starts = " OR ".join(f"starts_with(text, '{t}')" for t in licenses.TEMPLATES.values())
+    return f"""
+WITH idf(token, idf) AS (VALUES {idf}), vectors(license, token, weight) AS (VALUES {vectors}),
+files AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') || '/' || (doc_id // 1000)::VARCHAR AS dir,
+         CASE WHEN {starts} THEN 'LICENSE-' ELSE '' END || doc_id::VARCHAR || '.txt' AS name
+  FROM documents
+), marked AS (SELECT *, starts_with(name, 'LICENSE-') AS is_file FROM files),
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM marked
+), headers AS (
+  SELECT DISTINCT doc_id, line FROM lines WHERE regexp_matches(line, '{licenses.HEADER}')
+  UNION SELECT doc_id, text FROM marked WHERE is_file
+), words AS (
+  SELECT doc_id, line, unnest(regexp_extract_all(lower(line), '{licenses.TOKEN}')) AS token FROM headers
+), weights AS (
+  SELECT doc_id, line, token, count(*) * coalesce(any_value(idf), {known.unknown!r}) AS w FROM words LEFT JOIN idf USING (token) GROUP BY doc_id, line, token
+), norms AS (
+  SELECT doc_id, line, sqrt(sum(w * w)) AS n FROM weights GROUP BY doc_id, line
+), cosines AS (
+  SELECT doc_id, license, max(c) AS c FROM (
+    SELECT doc_id, line, license, round(sum(w * weight) / any_value(n), 9) AS c
+    FROM weights JOIN vectors USING (token) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, license
+  ) GROUP BY doc_id, license
+), own AS (
+  SELECT doc_id, license AS own_license, c AS cosine FROM cosines WHERE c >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, license) = 1
+), held AS (
+  SELECT dir, own_license AS given FROM marked JOIN own USING (doc_id) WHERE is_file
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_license) = 1
+)
+SELECT doc_id, dir || '/' || name AS path, own_license, round(cosine, 6) AS cosine, coalesce(own_license, given) AS license,
+       CASE WHEN own_license IS NULL AND given IS NOT NULL THEN dir END AS license_from,
+       CASE WHEN own_license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM marked LEFT JOIN own USING (doc_id) LEFT JOIN held USING (dir)
+"""
+
+
 #: SQL for those that SQL can express; the others are tested against brute force, a library or held-out rows.
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": f"""
@@ -145,12 +191,12 @@ WITH split AS MATERIALIZED (
 ), gone AS (
   SELECT doc_id, list(k ORDER BY k) AS starts FROM windows JOIN firsts USING (w) WHERE doc_id > low GROUP BY doc_id
 ), covered AS (
-  SELECT doc_id, list(DISTINCT k + j) AS at
+  SELECT doc_id, list(DISTINCT k + j) AS gone_at
   FROM (SELECT doc_id, unnest(starts) AS k FROM gone), range(50) AS r(j) GROUP BY doc_id
 ), places AS (
   SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM split
 ), marked AS (
-  SELECT doc_id, unnest(at) AS p, true AS cut FROM covered
+  SELECT doc_id, unnest(gone_at) AS p, true AS cut FROM covered
 ), texts AS (
   SELECT doc_id, count(*) AS n_words, count(cut) AS n_removed,
          coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE cut IS NULL), '') AS kept
@@ -160,6 +206,7 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM split LEFT JOIN texts USING (doc_id)
 """,
+    "op6_license_scan": _license_sql(),
     "op8_source_mix": f"""
 WITH sized AS (
   SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")})::BIGINT AS size,
