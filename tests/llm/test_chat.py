@@ -24,11 +24,14 @@ def test_round_trip_of_nasty_texts(spark):
     r = random.Random(1)
     rows = [(c, t, r.choice(["user", "assistant", "system"]), nasty(r)) for c in range(150) for t in range(r.randrange(1, 6))]
     rows += [(500, t, nasty(r), nasty(r)) for t in range(40)]
-    out = chats(spark, rows).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turns"), F.col("loss_spans")))
+    out = chats(spark, rows).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turns")))
     got = {x.conv_id: x for x in out.collect()}
     for c in {x[0] for x in rows}:
         turns = [(x[2], x[3]) for x in rows if x[0] == c]
         assert got[c].round_trip and [(t.role, t.text) for t in got[c].turns] == turns
+        for t, span in zip([t for t in got[c].turns if t.role == "assistant"], got[c].loss_spans):
+            under = got[c].formatted[span.start : span.start + span.length]
+            assert under == got[c].formatted.encode()[t.byte_start : t.byte_start + t.byte_length].decode()
         assert got[c].loss == "".join(t for role, t in turns if role == "assistant")
 
 

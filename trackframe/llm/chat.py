@@ -65,9 +65,10 @@ def render(turns: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """The turns of a rendered text: array of (role, text, escaped, start, length), offsets in code points.
+    """The turns of a rendered text: array of (role, text, escaped, start, length, byte_start, byte_length).
 
-    ``start`` and ``length`` are where the turn's text stands in the rendered text, escapes included.
+    ``start`` and ``length`` are where the turn's text stands in the rendered text, escapes included, in code points;
+    the other two the same in bytes of UTF-8, by which a text is read without counting through all before it.
     Text that doesn't follow the grammar comes back as turns too, but other ones.
     """
     pieces = F.split(text, f"\\Q{END}\\E\n?")
@@ -81,6 +82,7 @@ def parse(text: Column) -> Column:
         body = piece.substr(F.length(line) + 2, F.length(piece))
         return F.struct(
             F.length(line).alias("head"),
+            F.octet_length(line).alias("head_bytes"),
             unescape(role, ROLE_CODES).alias("role"),
             body.alias("raw"),
             F.when(marked, unescape(body)).otherwise(body).alias("text"),
@@ -89,24 +91,28 @@ def parse(text: Column) -> Column:
 
     turns = F.transform(pieces, read)
     # Each turn begins after the ones before it; lengths are summed over all but its own text.
-    offsets = F.aggregate(
-        turns,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["head"] + 1 + F.length(t["raw"]) + len(END) + 1).alias("at"),
-            F.array_append(acc["starts"], acc["at"] + t["head"] + 1).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.array().cast("array<struct<at:int,byte:int>>").alias("starts"))
+
+    def step(acc: Column, t: Column) -> Column:
+        at, byte = acc["at"] + t["head"] + 1, acc["byte"] + t["head_bytes"] + 1
+        return F.struct(
+            (at + F.length(t["raw"]) + len(END) + 1).alias("at"),
+            (byte + F.octet_length(t["raw"]) + len(END) + 1).alias("byte"),
+            F.array_append(acc["starts"], F.struct(at.alias("at"), byte.alias("byte"))).alias("starts"),
+        )
+
+    offsets = F.aggregate(turns, zero, step, lambda acc: acc["starts"])
     return F.zip_with(
         turns,
         offsets,
-        lambda t, start: F.struct(
+        lambda t, o: F.struct(
             t["role"].alias("role"),
             t["text"].alias("text"),
             t["escaped"].alias("escaped"),
-            start.alias("start"),
+            o["at"].alias("start"),
             F.length(t["raw"]).alias("length"),
+            o["byte"].alias("byte_start"),
+            F.octet_length(t["raw"]).alias("byte_length"),
         ),
     )
 
@@ -124,7 +130,7 @@ def _with(turns: Column, escaped: Callable[[Column], Column]) -> Column:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Every conversation as one text, and what its loss covers.
 
-    Returns a row per conv_id: ``formatted``, ``turns`` (read back from it: role, text, escaped, start, length),
+    Returns a row per conv_id: ``formatted``, ``turns`` (read back from it, see ``parse``),
     ``loss_spans`` (start and length in ``formatted`` of each assistant text, in order), ``round_trip`` (the turns that
     came back are the source's; always true) and ``n_escaped``.
 
@@ -160,12 +166,14 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     )
 
 
-def loss_text(formatted: Column, turns: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped, read from the rendered text by its spans."""
-    escaped = F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["escaped"])
+def loss_text(formatted: Column, turns: Column) -> Column:
+    """The text under the loss mask, unescaped, read from the rendered text's bytes at the spans of the assistant's turns."""
+
+    def read(data: Column) -> Column:
+        def one(t: Column) -> Column:
+            raw = data.substr(t["byte_start"] + 1, t["byte_length"]).cast("string")
+            return F.when(t["escaped"], unescape(raw)).otherwise(raw)
 
-    def read(span: Column, marked: Column) -> Column:
-        raw = formatted.substr(span["start"] + 1, span["length"])
-        return F.when(marked, unescape(raw)).otherwise(raw)
+        return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), one), "")
 
-    return F.array_join(F.zip_with(spans, escaped, read), "")
+    return F.get(F.transform(F.array(formatted.cast("binary")), read), F.lit(0))

@@ -103,7 +103,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
     out = chat.format_chats(rows.unionByName(extra))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = chat.loss_text(F.col("formatted"), F.col("turns"), F.col("loss_spans"))
+    loss = chat.loss_text(F.col("formatted"), F.col("turns"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
