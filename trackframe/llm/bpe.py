@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import small_batches, utf8
 
 #: Pieces whose ids a worker keeps from block to block; beyond it the store is begun anew.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 350_000
 #: Greater than every id: a pair of tokens is one number.
 SIDE = 1 << 20
 
