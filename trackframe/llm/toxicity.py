@@ -32,7 +32,7 @@ class Settings:
     features: int = 3_000
     max_vocabulary: int = 100_000
     least_docs: int = 4
-    prefixes: tuple[int, ...] = (5, 6)
+    prefixes: tuple[int, ...] = (4, 5)
     penalty: float = 0.3
     steps: int = 300
 
