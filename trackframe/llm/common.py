@@ -30,10 +30,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its lineage."""
+#: Rows in one file of a checkpoint whose number of rows is known.
+ROWS_PER_FILE = 200_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and return it without its lineage.
+
+    ``rows`` is its number of rows or a bound of it. A small table then is a few files, not one for each shuffle partition.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)).checkpoint()
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

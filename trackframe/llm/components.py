@@ -30,7 +30,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[kept], names[label[kept]]
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) for every node that has a link; root is the smallest node of its component.
 
     ``links`` has two long columns a and b. Alternates two steps until nothing
@@ -38,10 +38,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     node and its smaller neighbours go to the smallest. The number of rounds grows
     with the logarithm of the longest path. Both steps are an aggregate and a join. The
     aggregate is written before it is joined: then both sides of the join are plain
-    exchanges, and Spark can split the rows of a node with very many links.
+    exchanges, and Spark can split the rows of a node with very many links. ``most`` bounds the
+    number of links, if the caller knows one.
     """
     edges = cut(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), most
     )
 
     def mark(df: DataFrame) -> tuple:
@@ -50,12 +51,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * seen[0])
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large.distinct(), 2 * seen[0])
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), 2 * seen[0])
         inner = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(inner.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(inner.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), 2 * seen[0])
         now = mark(edges)
         if now == seen:
             break

@@ -170,7 +170,7 @@ def train(docs: DataFrame, usable: Column, settings: Settings = Settings()) -> M
                     )
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, kind string, token string, n long")
-    summed = cut(counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")))
+    summed = cut(counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")), 100 * settings.max_train_docs)
 
     def top(kind: str, most: int) -> list[tuple]:
         rows = summed.where(F.col("kind") == kind).orderBy(F.desc("n"), "token", "lang").limit(most)

@@ -263,12 +263,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, plans: tuple = PLANS) ->
     null component_id. An empty table gives an empty result; other columns are ignored.
     """
     prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    rows = prints.count()
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), rows)
     member = connected_components(fingerprint_links(nodes, distance, plans))
     roots = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(roots.join(least, "root").select("fp", "component_id"))
+    named = cut(roots.join(least, "root").select("fp", "component_id"), rows)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
