@@ -34,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
     docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs)
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count())
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    first = cut(first, docs.count())
     kept = docs.join(first.withColumnRenamed("doc_id", "first"), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     if first.where("count > 1").isEmpty():
         return kept
