@@ -107,6 +107,37 @@ def hard_triplets(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("anchor", r6("hardest_positive"), r6("hardest_negative"), r6("triplet"))
 
 
+BATCHES = """n AS (SELECT vec_id, label, vec_id // 128 AS batch, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+p AS (SELECT x.vec_id AS anchor, x.label = y.label AS same, list_dot_product(x.e, y.e) / (x.n * y.n) AS raw FROM n x JOIN n y ON x.batch = y.batch AND x.vec_id <> y.vec_id)
+"""
+
+
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table as training batches of 128 ids each."""
+    return _vectors(spark, sf).withColumn("batch", F.shiftright("vec_id", 7))
+
+
+@query(
+    f"""WITH {BATCHES}, t AS (SELECT anchor, max(raw / 0.07) AS top FROM p GROUP BY anchor),
+l AS (SELECT p.anchor, any_value(top) + ln(sum(exp(raw / 0.07 - top))) - avg(raw / 0.07) FILTER (WHERE same) AS loss, count(*) FILTER (WHERE same) AS positives FROM p JOIN t ON p.anchor = t.anchor GROUP BY p.anchor)
+SELECT anchor, positives, round(least(greatest(loss, 0), 100), 6) AS loss FROM l WHERE positives > 0"""
+)
+def nt_xent_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """nt_xent over every row: each is an anchor within its own batch."""
+    out = aggregates.contrastive(_batches(spark, sf), "vec_id", "label", "e", batch="batch")
+    return out.where("positives > 0").select("anchor", "positives", r6("loss"))
+
+
+@query(
+    f"""WITH {BATCHES}, h AS (SELECT anchor, min(raw) FILTER (WHERE same) AS hp, max(raw) FILTER (WHERE NOT same) AS hn FROM p GROUP BY anchor)
+SELECT anchor, round(hp, 6) AS hardest_positive, round(hn, 6) AS hardest_negative, round(greatest(hn - hp + 0.3, 0), 6) AS triplet FROM h WHERE hp IS NOT NULL AND hn IS NOT NULL"""
+)
+def hard_triplets_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """hard_triplets over every row, within batches."""
+    out = aggregates.triplet_loss(aggregates.contrastive(_batches(spark, sf), "vec_id", "label", "e", batch="batch"))
+    return out.select("anchor", r6("hardest_positive"), r6("hardest_negative"), r6("triplet"))
+
+
 @query("SELECT vec_id AS anchor, count(*) OVER (PARTITION BY label) - 1 AS positives, count(*) OVER () - count(*) OVER (PARTITION BY label) AS negatives FROM embeddings")
 def pair_masks(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.pair_masks(_vectors(spark, sf), "vec_id", "label")

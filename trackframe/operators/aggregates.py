@@ -80,26 +80,31 @@ def mean_vectors(df: DataFrame, by: Names, col: str, unit: bool = True) -> DataF
     return packed.select(*by, (v.normalized(F.col("_m")) if unit else F.col("_m")).alias(col))
 
 
-def _scores(df: DataFrame, key: str, label: str, vector: str, temperature: float, blocks: int) -> DataFrame:
+def _scores(df: DataFrame, key: str, label: str, vector: str, temperature: float, blocks: int, batch: str | None = None) -> DataFrame:
     """Scaled similarities of all ordered pairs of different rows: a batch's loss needs them all.
 
-    The batch is what the loss is over and is small; its rows are dealt into ``blocks`` so that the pairs spread over tasks.
+    The batch is what the loss is over and is small; its rows are dealt into ``blocks`` so that the pairs spread over tasks. With a
+    column ``batch`` there are many of them, and pairs are made within each only.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), v.normalized(v.doubles(F.col(vector))).alias("e"))
-    a = rows.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-    b = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), v.normalized(v.doubles(F.col(vector))).alias("e"), *([F.col(batch).alias("_b")] if batch else []))
+    if batch:
+        a = b = rows
+    else:
+        a = rows.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+        b = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = a.alias("a").join(b.alias("b"), "_b").where("a.k <> b.k")
     raw = v.dot(F.col("a.e"), F.col("b.e"))
     return pairs.select(F.col("a.k").alias("anchor"), (F.col("a.l") == F.col("b.l")).alias("same"), raw.alias("raw"), (raw / temperature).alias("sim"))
 
 
-def contrastive(df: DataFrame, key: str, label: str, vector: str, temperature: float = 0.07, margin: float | None = None, smoothing: float = 0.0, clamp: tuple[float, float] = (0.0, 100.0), blocks: int = 8) -> DataFrame:
+def contrastive(df: DataFrame, key: str, label: str, vector: str, temperature: float = 0.07, margin: float | None = None, smoothing: float = 0.0, clamp: tuple[float, float] = (0.0, 100.0), blocks: int = 8, batch: str | None = None) -> DataFrame:
     """Loss of each anchor in a batch: log of the summed exponentials of its similarities less the mean over its positives.
 
     With a ``margin`` only negatives within it of the most similar positive count, where there are any. Returns anchor, loss (null
-    without a positive), positives, and the least similar positive and most similar negative.
+    without a positive), positives, and the least similar positive and most similar negative. The rows are one batch, or those
+    with one value of the column ``batch`` are; keys are unique over all batches.
     """
-    s = _scores(df, key, label, vector, temperature, blocks)
+    s = _scores(df, key, label, vector, temperature, blocks, batch)
     if margin is not None:
         w = whole(["anchor"])
         s = s.withColumn("_p", F.max(F.when(F.col("same"), F.col("sim"))).over(w))
