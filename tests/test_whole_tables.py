@@ -16,3 +16,15 @@ def test_every_row_is_an_anchor(spark, sf):
     assert len({r.anchor for r in triplets}) == len(triplets) == n
     first = {r.anchor: tuple(r) for r in QUERIES["nt_xent"](spark, sf).collect()}
     assert first == {r.anchor: tuple(r) for r in losses if r.anchor < 128}
+
+
+def test_every_order_and_order_line(spark, sf):
+    orders, lines = (count(sf, f"select count(*) from '{{sf}}/{t}.parquet'") for t in ("orders", "lineitem"))
+    assert QUERIES["fk_chain_all"](spark, sf).select("o_orderkey").distinct().count() == orders > 201
+    for name in ("quat_roundtrip", "rot6d_roundtrip"):
+        assert QUERIES[name](spark, sf).count() < QUERIES[f"{name}_all"](spark, sf).count() == lines
+    half = QUERIES["rot6d_roundtrip_all"](spark, sf).where("abs(w) <= 0.001").collect()
+    assert half and all(abs(r.w**2 + r.x**2 + r.y**2 + r.z**2 - 1) < 1e-5 for r in half)
+    assert all(next(v for v in (r.w, r.x, r.y, r.z) if abs(v) > 1e-5) > 0 for r in half)
+    turned = QUERIES["quat_roundtrip_all"](spark, sf)
+    assert turned.where("x <= -180 or z <= -180").isEmpty() and not turned.where("x = 180").isEmpty()

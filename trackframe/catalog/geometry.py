@@ -44,6 +44,22 @@ def quat_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(*KEYS, *((F.round(F.col("b")[c], 4) + F.lit(0.0)).alias(c) for c in "xyz"))
 
 
+def _whole_turns(c: str) -> str:
+    return f"CASE WHEN {c} <= -180 THEN {c} + 360 ELSE {c} END AS {c}"
+
+
+@query(
+    f"""WITH {QUAT}, b AS (SELECT l_orderkey, l_linenumber, round(degrees(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))), 4) + 0.0 AS x,
+  round(degrees(asin(least(greatest(2 * (w * y - z * x), -1), 1))), 4) + 0.0 AS y, round(degrees(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))), 4) + 0.0 AS z FROM q)
+SELECT l_orderkey, l_linenumber, {_whole_turns("x")}, y, {_whole_turns("z")} FROM b"""
+)
+def quat_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+    """quat_roundtrip of every order line, with half a turn as 180 degrees whichever way it went."""
+    back = _quats(spark, sf).withColumn("b", g.quat_to_euler(F.col("q")))
+    out = back.select(*KEYS, *((F.round(F.col("b")[c], 4) + F.lit(0.0)).alias(c) for c in "xyz"))
+    return out.selectExpr(*KEYS, _whole_turns("x"), "y", _whole_turns("z"))
+
+
 @query(
     f"""WITH {QUAT} SELECT l_orderkey, l_linenumber, round(1 - 2 * (y * y + z * z), 6) + 0.0 AS r0, round(2 * (x * y + w * z), 6) + 0.0 AS r1, round(2 * (x * z - w * y), 6) + 0.0 AS r2,
   round(2 * (x * y - w * z), 6) + 0.0 AS r3, round(1 - 2 * (x * x + z * z), 6) + 0.0 AS r4, round(2 * (y * z + w * x), 6) + 0.0 AS r5 FROM q"""
@@ -64,6 +80,20 @@ def rot6d_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(*KEYS, *(r6(F.col("b")[c] * sign, c) for c in "wxyz"))
 
 
+#: The sign that makes the first number of a quaternion positive which is not zero: both signs are one rotation.
+SIGN = "CASE WHEN abs(w) > 1e-5 THEN sign(w) WHEN abs(x) > 1e-5 THEN sign(x) WHEN abs(y) > 1e-5 THEN sign(y) ELSE sign(z) END"
+
+
+@query(
+    f"""WITH {QUAT}, s AS (SELECT *, {SIGN} AS s FROM q)
+SELECT l_orderkey, l_linenumber, round(w * s, 6) + 0.0 AS w, round(x * s, 6) + 0.0 AS x, round(y * s, 6) + 0.0 AS y, round(z * s, 6) + 0.0 AS z FROM s"""
+)
+def rot6d_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+    """rot6d_roundtrip of every order line, half turns included."""
+    df = _quats(spark, sf).withColumn("b", g.rot6d_to_quat(g.quat_to_rot6d(F.col("q")))).select(*KEYS, "b.*")
+    return df.withColumn("s", F.expr(SIGN)).select(*KEYS, *(r6(F.col(c) * F.col("s"), c) for c in "wxyz"))
+
+
 @query(
     f"""WITH {QUAT} SELECT l_orderkey, l_linenumber, round(10 * (1 - 2 * (y * y + z * z)) + 20 * 2 * (x * y - w * z) + 30 * 2 * (x * z + w * y), 6) + 0.0 AS x,
   round(10 * 2 * (x * y + w * z) + 20 * (1 - 2 * (x * x + z * z)) + 30 * 2 * (y * z - w * x), 6) + 0.0 AS y,
@@ -93,6 +123,15 @@ def _rest() -> list[tuple[float, float, float]]:
     return out
 
 
+def _turned(orders: DataFrame) -> DataFrame:
+    turn = g.from_axis_angle(g.vec3(0, 1, 0), (F.col("o_custkey") % 360).cast("double"))
+    df = orders.select("o_orderkey", turn.alias("q"))
+    still = F.array_repeat(g.identity(), JOINT_COUNT)
+    places = skeleton.fk_column(g.vec3(1, 90, 2), F.col("q"), still)
+    out = df.select("o_orderkey", F.posexplode(places).alias("joint", "p"))
+    return out.select("o_orderkey", F.col("joint").cast("long"), *(r6(F.col("p")[c], c) for c in "xyz"))
+
+
 @query(
     "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {x}, {y}, {z})" for k, (x, y, z) in enumerate(_rest())) + """) AS r(joint, x, y, z)),
 a AS (SELECT o_orderkey, radians(o_custkey % 360) AS t FROM orders WHERE o_orderkey <= 200)
@@ -100,12 +139,17 @@ SELECT o_orderkey, joint::BIGINT AS joint, round(x * cos(t) + z * sin(t) + 1, 6)
 )
 def fk_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Joint places of a skeleton in rest pose that is turned about the vertical axis."""
-    turn = g.from_axis_angle(g.vec3(0, 1, 0), (F.col("o_custkey") % 360).cast("double"))
-    df = read(spark, sf, "orders").where("o_orderkey <= 200").select("o_orderkey", turn.alias("q"))
-    still = F.array_repeat(g.identity(), JOINT_COUNT)
-    places = skeleton.fk_column(g.vec3(1, 90, 2), F.col("q"), still)
-    out = df.select("o_orderkey", F.posexplode(places).alias("joint", "p"))
-    return out.select("o_orderkey", F.col("joint").cast("long"), *(r6(F.col("p")[c], c) for c in "xyz"))
+    return _turned(read(spark, sf, "orders").where("o_orderkey <= 200"))
+
+
+@query(
+    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {x}, {y}, {z})" for k, (x, y, z) in enumerate(_rest())) + """) AS r(joint, x, y, z)),
+a AS (SELECT o_orderkey, radians(o_custkey % 360) AS t FROM orders)
+SELECT o_orderkey, joint::BIGINT AS joint, round(x * cos(t) + z * sin(t) + 1, 6) + 0.0 AS x, round(y + 90, 6)::DOUBLE AS y, round(z * cos(t) - x * sin(t) + 2, 6) + 0.0 AS z FROM a, r"""
+)
+def fk_chain_all(spark: SparkSession, sf: str) -> DataFrame:
+    """fk_chain for every order."""
+    return _turned(read(spark, sf, "orders"))
 
 
 @query(
