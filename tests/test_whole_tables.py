@@ -3,6 +3,7 @@
 import duckdb
 
 from trackframe.catalog import QUERIES
+from trackframe.operators import search
 
 
 def count(sf, sql):
@@ -28,3 +29,14 @@ def test_every_order_and_order_line(spark, sf):
     assert all(next(v for v in (r.w, r.x, r.y, r.z) if abs(v) > 1e-5) > 0 for r in half)
     turned = QUERIES["quat_roundtrip_all"](spark, sf)
     assert turned.where("x <= -180 or z <= -180").isEmpty() and not turned.where("x = 180").isEmpty()
+
+
+def test_queries_in_blocks(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = df.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding")
+    queries = queries.unionByName(queries.where("query_id = 0"))
+    whole = search.knn_join(queries, df, 4, "query_id", "vec_id", "embedding")
+    parts = search.knn_join(queries, df, 4, "query_id", "vec_id", "embedding", max_queries=30)
+    assert [b.count() <= 30 for b in search.in_blocks(queries, 30)].count(True) >= 4
+    assert sum(b.count() for b in search.in_blocks(queries, 30)) == queries.count() == 101
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and parts.count() == 400
