@@ -40,3 +40,18 @@ def test_queries_in_blocks(spark, sf):
     assert [b.count() <= 30 for b in search.in_blocks(queries, 30)].count(True) >= 4
     assert sum(b.count() for b in search.in_blocks(queries, 30)) == queries.count() == 101
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and parts.count() == 400
+
+
+def test_index_recall_with_fewer_probes_than_cells(spark, sf):
+    found = QUERIES["index_search"](spark, sf).collect()
+    n = count(sf, "select count(*) from '{sf}/embeddings.parquet' where vec_id % 50 = 0")
+    assert len({r.query_id for r in found}) == n and len(found) == 10 * n
+    near = {(r.query_id, r.vec_id) for r in found}
+    exact = {(r.query_id, r.vec_id) for r in QUERIES["knn_join"](spark, sf).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    index = search.VectorIndex.build(df, "vec_id", "embedding", cells=search.VectorIndex.CELLS)
+    cells = index.centroids.count()
+    assert cells > 3 * cells // 4 >= 1
+    one = index.search_join(df.where("vec_id = 50").selectExpr("vec_id as q", "embedding"), "q", 10, 3).orderBy("rank").collect()
+    assert [r.vec_id for r in one] == [r.vec_id for r in index.search(df.where("vec_id = 50").first().embedding, 10, 3).collect()]

@@ -62,10 +62,46 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long"), "vec_id")
 
 
+def _queries(df: DataFrame) -> DataFrame:
+    return df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "e")
+
+
+L2_PAIRS = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, a.e AS q, b.vec_id, b.e FROM e a, e b WHERE a.vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, {L2} AS d FROM p)"""
+
+
+@query(f"WITH {L2_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM s) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank < 10")
+def knn_l2_join(spark: SparkSession, sf: str) -> DataFrame:
+    """knn_l2 for every query."""
+    df = _vectors(spark, sf)
+    out = search.knn_join(_queries(df), df, 10, "query_id", "vec_id", "e", "euclidean")
+    return out.select("query_id", F.col("rank").cast("long"), "vec_id", r6("distance"))
+
+
+@query(f"WITH {L2_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM s WHERE d <= 1.2) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank < 50")
+def knn_threshold_join(spark: SparkSession, sf: str) -> DataFrame:
+    """knn_threshold for every query."""
+    df = _vectors(spark, sf)
+    out = search.knn_join(_queries(df), df, 50, "query_id", "vec_id", "e", "euclidean", max_distance=1.2)
+    return out.select("query_id", F.col("rank").cast("long"), "vec_id", r6("distance"))
+
+
+@query(f"WITH {L2_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS i FROM s WHERE vec_id <> query_id) SELECT query_id, vec_id, round(d, 6) AS distance FROM r WHERE i = 1")
+def nearest_style_join(spark: SparkSession, sf: str) -> DataFrame:
+    """nearest_style for every query: of its two nearest rows one at least is another."""
+    df = _vectors(spark, sf)
+    out = search.knn_join(_queries(df), df, 2, "query_id", "vec_id", "e", "euclidean").where("vec_id <> query_id")
+    least = out.groupBy("query_id").agg(F.min(F.struct("distance", "vec_id")).alias("r"))
+    return least.select("query_id", "r.vec_id", r6("r.distance", "distance"))
+
+
 @query()
 def index_search(spark: SparkSession, sf: str) -> DataFrame:
-    index = search.VectorIndex.build(_vectors(spark, sf), "vec_id", "e", cells=8)
-    return index.search(_query_vector(spark, sf), 10, probes=8).select("vec_id", F.col("rank").cast("long"), r6("score"))
+    """The ten nearest rows of every query, from three quarters of the cells."""
+    df = _vectors(spark, sf)
+    index = search.VectorIndex.build(df, "vec_id", "e", cells=search.VectorIndex.CELLS)
+    out = index.search_join(_queries(df), "query_id", 10, probes=max(1, 3 * index.centroids.count() // 4))
+    return out.select("query_id", F.col("rank").cast("long"), "vec_id", r6("score"))
 
 
 @query(
