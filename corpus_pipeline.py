@@ -30,16 +30,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+#: What tells rows apart: doc_id, which may be null or repeat, and two hashes of the whole row.
+ROW = ("doc_id", "_h1", "_h2")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """The documents with the hashes of ROW; only rows that are equal in full have the same."""
+    parts = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    return docs.select(*COLUMNS, *(F.xxhash64(F.lit(seed), *parts).alias(h) for seed, h in enumerate(ROW[1:])))
+
+
+def _joined(docs: DataFrame, picked: DataFrame, how: str) -> DataFrame:
+    """Marked documents joined with ``picked``, which has each row once, and ``n``, how often it is there."""
+    if not picked.where("n > 1").isEmpty():
+        docs = docs.dropDuplicates(list(ROW))  # equal in full, so it does not matter which one stays
+    other = picked.drop("n").withColumnsRenamed({c: f"{c}_" for c in ROW})
+    return docs.join(other, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ROW], how)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    first = cut(first, docs.count())
-    kept = docs.join(first.withColumnRenamed("doc_id", "first"), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    if first.where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])  # rows with one doc_id are one document
+    """One document of each group of near-duplicates: that with the smallest doc_id, null last; of several with it the one whose row hashes least."""
+    docs = _marked(docs)
+    found = simhash.near_duplicates(docs, carry=ROW[1:])
+    rows = found.groupBy("root", *ROW).agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW, "n")).alias("r")
+    first = cut(rows.groupBy("root").agg(least).select(*(f"r.{c}" for c in (*ROW, "n"))), docs.count())
+    return _joined(docs, first, "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +68,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    docs = _marked(docs)
+    taken = mixing.mix(docs, carry=ROW[1:]).groupBy(*ROW).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    rows = _joined(docs, cut(taken.where("copies > 0"), docs.count()), "inner")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 

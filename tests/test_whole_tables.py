@@ -55,3 +55,19 @@ def test_index_recall_with_fewer_probes_than_cells(spark, sf):
     assert cells > 3 * cells // 4 >= 1
     one = index.search_join(df.where("vec_id = 50").selectExpr("vec_id as q", "embedding"), "q", 10, 3).orderBy("rank").collect()
     assert [r.vec_id for r in one] == [r.vec_id for r in index.search(df.where("vec_id = 50").first().embedding, 10, 3).collect()]
+
+
+def test_one_document_of_each_group_whatever_its_id(spark, sf):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdefg"}
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "d"), (None, "d"), (None, "e"), (5, "f"), (None, "f"), (6, "f"), (7, "g")]
+    docs = spark.createDataFrame([(k, text[t], "en", "s", len(text[t])) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(1, "a"), (1, "b"), (None, "c"), (None, "d"), (None, "e"), (5, "f"), (7, "g")], key=str)
+    for part in (1, 3):
+        kept = corpus_pipeline.near_dedup(spark, docs.repartition(part), sf)
+        assert sorted(((r.doc_id, r.text[0]) for r in kept.collect()), key=str) == want
+    mixed = corpus_pipeline.source_mix(spark, kept, sf).collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in mixed), key=str) == want
+    one = docs.where("text like 'c%'")  # a single null id took every null id along
+    assert corpus_pipeline.near_dedup(spark, one.unionByName(docs.where("doc_id is null and text like 'f%'")).unionByName(docs.where("doc_id = 5")), sf).count() == 2

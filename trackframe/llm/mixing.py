@@ -96,7 +96,7 @@ def size_of(text: str | Column = "text") -> Column:
 BUCKET_DIGITS = 3
 
 
-def select_seeded(sized: DataFrame, passes: DataFrame, key: str, seed: int) -> DataFrame:
+def select_seeded(sized: DataFrame, passes: DataFrame, key: str, seed: int, ties: Sequence[str] = ()) -> DataFrame:
     """``copies`` of every row: the full passes of its group, and one more for the first in the seeded order.
 
     ``passes`` has, for each value of ``key``, full passes and the tokens wanted beyond
@@ -121,7 +121,7 @@ def select_seeded(sized: DataFrame, passes: DataFrame, key: str, seed: int) -> D
     )
     right = sums.select(F.col(key).alias("k"), F.col("bucket").alias("b"), "before", "full", "rest", "place")
     placed = rows.join(right, rows[key].eqNullSafe(F.col("k")) & (rows["bucket"] == F.col("b"))).drop("k", "b")
-    ordered = Window.partitionBy(key, "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy(key, "bucket").orderBy("ord", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     border = placed.where("place = 'border'").withColumn(
         "before", F.col("before") + F.coalesce(F.sum("size").over(ordered), F.lit(0))
     )
@@ -140,6 +140,7 @@ def mix(
     seed: int = 42,
     sources: str = "source",
     max_patterns: int = 10_000,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """How many words of every document the mix takes.
 
@@ -151,14 +152,15 @@ def mix(
 
     A null text has size 0 and is taken 0 words; a null source is a source of its own; a null
     doc_id has its place in the order like any other; rows that are repeated in full are
-    neighbours there, and whichever comes first is alike. Other columns are ignored and an empty
+    neighbours there, and whichever comes first is alike. The columns that ``carry`` names are returned too,
+    and order rows of one doc_id and size. Other columns are ignored and an empty
     table gives an empty result. Patterns are collected to the driver: if there are more than
     ``max_patterns`` that is an error, never a cut.
     """
     many = dict(docs.dtypes)[sources].startswith("array")
     names = F.array_sort(F.array_distinct(F.col(sources).cast("array<string>"))) if many else F.array(F.col(sources).cast("string"))
     sized = cut(
-        docs.select(F.col("doc_id").cast("long"), F.col(sources).alias("given"), names.alias("pattern"), size_of().alias("size"))
+        docs.select(F.col("doc_id").cast("long"), F.col(sources).alias("given"), names.alias("pattern"), size_of().alias("size"), *carry)
     )
     if many:  # an empty or null set of sources belongs to the null source
         none = F.col("pattern").isNull() | (F.size("pattern") < 1)
@@ -184,12 +186,12 @@ def mix(
         routed = sum(f)
         passes.append((g["key"], routed // c if c else 0, routed % c if c else 0))
     table = spark.createDataFrame(passes, "key string, full long, rest long")
-    out = select_seeded(sized, table, "key", seed).withColumn("taken", F.col("copies") * F.col("size"))
+    out = select_seeded(sized, table, "key", seed, carry).withColumn("taken", F.col("copies") * F.col("size"))
     if many:
-        return out.select("doc_id", F.col("given").alias(sources), "size", "copies", "taken")
+        return out.select("doc_id", F.col("given").alias(sources), "size", "copies", "taken", *carry)
     named = spark.createDataFrame(
         [(g["key"], int(held[m[0]]), float(wanted[m[0]])) for g, m in zip(groups, members)],
         "key string, source_size long, target double",
     )
     out = out.join(F.broadcast(named), "key")
-    return out.select("doc_id", F.col("given").alias(sources), "size", "source_size", "target", "copies", "taken")
+    return out.select("doc_id", F.col("given").alias(sources), "size", "source_size", "target", "copies", "taken", *carry)

@@ -16,7 +16,7 @@ error pattern of that syndrome, and these patterns are a small table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackframe.llm.common import cut, small_batches, utf8
 from trackframe.llm.components import connected_components, stars
@@ -59,17 +60,19 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long) of every row, and the columns that ``carry`` names."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(made.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *carry])
 
-    picked = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"), *carry)
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, fp long"), *docs.select(*carry).schema])
+    return picked.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -251,7 +254,7 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, plans: tuple = PLANS)
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, plans: tuple = PLANS) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, plans: tuple = PLANS, carry: Sequence[str] = ()) -> DataFrame:
     """Fingerprint and component of every document.
 
     Returns a row per input row: doc_id, ``fp`` (long), ``fingerprint`` (16
@@ -260,9 +263,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, plans: tuple = PLANS) ->
     share the fingerprint zero. Equal fingerprints are one node, so copies cost
     nothing beyond the first. A row with a null doc_id takes part like any other
     but is never a component's smallest; a component of such rows alone has a
-    null component_id. An empty table gives an empty result; other columns are ignored.
+    null component_id. An empty table gives an empty result; other columns are ignored, but with ``carry`` the columns that it
+    names are returned too, and ``root``, a fingerprint that names the component whether or not it has a doc_id.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs, carry))
     rows = prints.count()
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), rows)
     member = connected_components(fingerprint_links(nodes, distance, plans))
@@ -270,6 +274,6 @@ def near_duplicates(docs: DataFrame, distance: int = 4, plans: tuple = PLANS) ->
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(roots.join(least, "root").select("fp", "component_id"), rows)
+    named = cut(roots.join(least, "root").select("fp", "component_id", *(["root"] if carry else [])), rows)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id", *([*carry, "root"] if carry else []))
