@@ -15,27 +15,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackframe.llm.common import cut, small_batches, utf8
 
 UNKNOWN = "und"
+#: Columns lang, text and n.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of training (labelled rows, words, n-grams) and the longest n-gram.
+    """Bounds of the sample of labelled rows that is fitted (rows, bytes of text) and the longest n-gram.
 
+    Every word and n-gram of the sample is in the model, so these two bound its size too: a
+    text of b bytes has at most b / 2 words and b n-grams of each length.
     ``full_words``: from this many words on the evidence counts no further, so that the
     score of a long text is not always 1.
     """
 
     max_train_docs: int = 20_000
-    max_words: int = 100_000
-    max_grams: int = 60_000
+    max_train_bytes: int = 64 << 20
     longest_gram: int = 5
     smoothing: float = 0.5
     full_words: int = 12
@@ -57,28 +60,28 @@ class Model:
         self.langs, self.words, self.grams, self.table, self.settings = langs, words, grams, table, settings
 
     @classmethod
-    def fit(cls, word_counts: list[tuple], gram_counts: list[tuple], langs: list[str], settings: Settings) -> Model:
-        """Counts are (lang, text, n); each n-gram length is a distribution of its own."""
+    def fit(cls, word_counts: Counts, gram_counts: Counts, settings: Settings) -> Model:
+        """Counts are columns (lang, text, n); each n-gram length is a distribution of its own."""
+        langs = sorted({*word_counts[0], *gram_counts[0]})
         lang_place = {lang: k for k, lang in enumerate(langs)}
-        parts: list[np.ndarray] = [np.zeros((0, max(len(langs), 1)))]
-
-        def logs(counts: list[tuple], first: int) -> dict[str, int]:
-            places: dict[str, int] = {}
-            for text in sorted({c[1] for c in counts}):
-                places[text] = len(places)
-            table = np.zeros((len(places), len(langs)))
-            for lang, text, n in counts:
-                table[places[text], lang_place[lang]] += n
-            if places:
-                total = table.sum(axis=0) + settings.smoothing * len(places)
-                parts.append(np.log((table + settings.smoothing) / total))
-            return {text: first + k for text, k in places.items()}
-
-        words = logs(word_counts, 0)
+        parts: list[np.ndarray] = [np.zeros((0, max(len(langs), 1)), np.float32)]
+
+        def logs(counts: Counts, which: np.ndarray, first: int) -> dict[str, int]:
+            """Places of the texts in the table, from ``first`` on; their rows go to ``parts``."""
+            lang = np.fromiter(map(lang_place.__getitem__, counts[0][which]), np.int64, which.sum())
+            texts, row = np.unique(counts[1][which], return_inverse=True)
+            if len(texts):
+                table = np.full((len(texts), len(langs)), settings.smoothing)
+                np.add.at(table, (row, lang), counts[2][which])
+                parts.append(np.log(table / table.sum(axis=0)).astype(np.float32))
+            return dict(zip(texts.tolist(), range(first, first + len(texts))))
+
+        words = logs(word_counts, np.ones(len(word_counts[1]), bool), 0)
+        lengths = np.fromiter(map(len, gram_counts[1]), np.int64, len(gram_counts[1]))
         grams: dict[str, int] = {}
         for n in range(1, settings.longest_gram + 1):
-            grams |= logs([c for c in gram_counts if len(c[1]) == n], len(words) + len(grams))
-        return cls(langs, words, grams, np.concatenate(parts).astype(np.float32), settings)
+            grams |= logs(gram_counts, lengths == n, len(words) + len(grams))
+        return cls(langs, words, grams, np.concatenate(parts), settings)
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(self.settings.longest_gram, 0, -1):
@@ -111,7 +114,7 @@ class Scorer:
 
     def predict(self, raw: bytes | None) -> tuple[str, float]:
         words = words_of(raw)
-        if not self.model.langs or not any(map(str.isalpha, words)):
+        if not self.model.langs or not any(c.isalpha() for word in words for c in word):
             return UNKNOWN, 0.0
         sums = np.zeros(len(self.model.langs))
         for first in range(0, len(words), 50_000):
@@ -129,23 +132,30 @@ class Scorer:
 def train(docs: DataFrame, usable: Column, settings: Settings = Settings()) -> Model:
     """Fit on a sample of the rows where ``usable`` holds and lang is not null.
 
-    The sample is the ``max_train_docs`` rows whose doc_id has the smallest hash. Its ids
-    (a few hundred kB at most) are broadcast; word and n-gram counts are summed by Spark and
-    the most frequent, as many as the settings allow, make the model.
+    The sample is the ``max_train_docs`` rows whose doc_id has the smallest hash, or as many of
+    them as have ``max_train_bytes`` of text; a text longer than that is not in it. Null texts
+    and ids teach nothing, and rows alike in id, text and lang count once. The ids (a megabyte at
+    most) are broadcast. Word and n-gram counts are summed by Spark and all of them make the
+    model. An empty sample gives a model without languages.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = settings.longest_gram
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = (
-        labelled.select(F.col("doc_id").cast("long"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(settings.max_train_docs)
-        .distinct()
+    text = F.col("text").cast("string")
+    row = ["doc_id", "lang", "hash"]
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long"),
+        F.col("lang").cast("string").alias("lang"),
+        F.xxhash64(text).alias("hash"),
+        F.octet_length(text).cast("long").alias("size"),
+        utf8("text").alias("text"),
     )
-    sample = labelled.select(
-        F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), utf8("text").alias("text")
-    ).join(F.broadcast(chosen), "doc_id", "left_semi")
+    labelled = labelled.where(F.col("size") <= settings.max_train_bytes)
+    order = [F.xxhash64("doc_id"), *row]
+    first = labelled.select(*row, "size").distinct().orderBy(*order).limit(settings.max_train_docs)
+    upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the limit's rows
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= settings.max_train_bytes).select(*row)
+    sample = labelled.join(F.broadcast(chosen), row, "left_semi").dropDuplicates(row)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,13 +182,11 @@ def train(docs: DataFrame, usable: Column, settings: Settings = Settings()) -> M
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, kind string, token string, n long")
     summed = cut(counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")), 100 * settings.max_train_docs)
 
-    def top(kind: str, most: int) -> list[tuple]:
-        rows = summed.where(F.col("kind") == kind).orderBy(F.desc("n"), "token", "lang").limit(most)
-        return [tuple(r) for r in rows.select("lang", "token", "n").toPandas().itertuples(index=False)]
+    def columns(kind: str) -> Counts:
+        table = summed.where(F.col("kind") == kind).select("lang", "token", "n").toArrow()
+        return tuple(table[k].to_numpy() for k in range(3))
 
-    words, grams = top("word", settings.max_words), top("gram", settings.max_grams)
-    langs = sorted({lang for lang, *_ in words} | {lang for lang, *_ in grams})
-    return Model.fit(words, grams, langs, settings)
+    return Model.fit(columns("word"), columns("gram"), settings)
 
 
 def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:
