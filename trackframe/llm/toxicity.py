@@ -9,12 +9,12 @@ training, the earlier probabilities come from models that did not see the docume
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +25,27 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_train_docs`` bounds the labelled rows of each combination of values that are fitted, ``max_vocabulary`` the features that are weighed."""
+    """``max_train_docs`` bounds the labelled rows of each combination of values that are fitted.
+
+    Every feature of these rows is weighed; ``features`` of them, those that chi-square finds to tell
+    most, are in each model, and one in fewer than ``least_docs`` documents is not, as it tells nothing
+    of others.
+    """
 
     max_train_docs: int = 3_000
     folds: int = 5
     features: int = 3_000
-    max_vocabulary: int = 100_000
     least_docs: int = 4
     prefixes: tuple[int, ...] = (4, 5)
     penalty: float = 0.3
     steps: int = 300
 
 
+def number(feature: str) -> int:
+    """What stands for a feature while training: 63 bits of a hash, by which the features of a sample are told apart."""
+    return xxhash.xxh3_64_intdigest(feature) >> 1
+
+
 def features_of(raw: bytes | None, prefixes: Sequence[int]) -> set[str]:
     """Words of a text, in lower case, and their first letters marked with a star."""
     words = set(_WORD.findall((raw or b"").decode("utf-8", "replace").lower()))
@@ -48,8 +57,8 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.rows, self.width = rows, width
-        self.column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.column = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
 
     def take(self, which: np.ndarray) -> Sparse:
         return Sparse([self.rows[k] for k in which], self.width)
@@ -122,15 +131,18 @@ class Chain:
     """Fitted models in their order, with the vocabulary and the thresholds."""
 
     categories: list[str]
-    vocabulary: dict[str, int]
+    vocabulary: dict
     models: list[Linear]
     thresholds: list[float]
     settings: Settings
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], names: list[str], labels: np.ndarray, categories: Sequence[str], settings: Settings) -> Chain:
-        """``rows`` has the places in ``names`` of each text's features; ``labels`` a column of 0/1 for each category, in chain order."""
-        x = Sparse(rows, len(names))
+    def fit(cls, rows: list[np.ndarray], width: int, labels: np.ndarray, categories: Sequence[str], settings: Settings) -> Chain:
+        """``rows`` has each text's features, as numbers below ``width``; ``labels`` a column of 0/1 for each category, in chain order.
+
+        The vocabulary has the numbers, as long as nobody names the features.
+        """
+        x = Sparse(rows, width)
         fold = np.arange(len(rows)) % settings.folds
         earlier, models, thresholds = np.zeros((len(rows), 0)), [], []
         for k in range(len(categories)):
@@ -146,12 +158,12 @@ class Chain:
         renumber = {c: k for k, c in enumerate(used)}
         for m in models:
             m.columns = np.array([renumber[int(c)] for c in m.columns], np.int64)
-        return cls(list(categories), {names[c]: k for k, c in enumerate(used)}, models, thresholds, settings)
+        return cls(list(categories), renumber, models, thresholds, settings)
 
     def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
         place, prefixes = self.vocabulary, self.settings.prefixes
         rows = [np.array([place[f] for f in features_of(t, prefixes) if f in place], np.int64) for t in texts]
-        x, out = Sparse(rows, len(place)), np.zeros((len(texts), 0))
+        x, out = Sparse(rows, len(self.vocabulary)), np.zeros((len(texts), 0))
         for model in self.models:
             out = np.column_stack([out, model.probability(x, out)])
         return out
@@ -162,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], settin
 
     Fitted are, of each combination of values, the ``max_train_docs`` labelled rows whose doc_id
     has the smallest hash; a condition that is null counts as not met. Where a doc_id is
-    labelled more than once, the greatest value holds.
+    labelled more than once, the greatest value holds. Null ids teach nothing, and rows of one id and
+    text count once. The features of the sample come to the driver as numbers, and by name only
+    those that a model uses.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -178,40 +192,43 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], settin
             same = same.where(F.col(flag) == value)
         parts.append(same.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_train_docs))
     if not parts:
-        return Chain.fit([], [], np.zeros((0, len(categories))), list(categories), settings)
+        return Chain.fit([], 0, np.zeros((0, len(categories))), list(categories), settings)
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *flags).dropDuplicates(["doc_id", "text"])
-    sample = cut(sample)
-    prefixes, least = settings.prefixes, settings.least_docs
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = Counter(f for t in batch.column(0).to_pylist() for f in features_of(t, prefixes))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "n"])
-
-    counts = sample.select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    common = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(settings.max_vocabulary)
-    names = sorted(r["f"] for r in common.collect())
-    place = {f: k for k, f in enumerate(names)}
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), "text", *flags)
+    sample = cut(sample.dropDuplicates(["doc_id", "hash"]))
+    prefixes = settings.prefixes
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sorted(place[f] for f in features_of(t, prefixes) if f in place) for t in batch.column(1).to_pylist()]
+            made = [sorted(map(number, features_of(t, prefixes))) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.list_(pa.int32())), *(batch.column(2 + k) for k in range(len(flags)))],
-                names=["doc_id", "features", *flags],
+                [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64())), *batch.columns[3:]],
+                names=["doc_id", "hash", "features", *flags],
             )
 
-    table = sample.mapInArrow(find, "doc_id long, features array<int>, " + ", ".join(f"{f} int" for f in flags)).toArrow()
-    order = sorted(range(table.num_rows), key=lambda k, ids=table["doc_id"].to_pylist(): (ids[k], k))
+    kinds = ", ".join(f"{f} int" for f in flags)
+    table = sample.mapInArrow(find, f"doc_id long, hash long, features array<long>, {kinds}").toArrow()
+    order = np.lexsort((table["hash"].to_numpy(), table["doc_id"].to_numpy()))  # folds don't depend on the order of rows
     lists = table["features"].combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows = [flat[ends[k] : ends[k + 1]].astype(np.int64) for k in order]
-    values = np.column_stack([table[f].to_numpy()[order] for f in flags]).astype(float) if rows else np.zeros((0, len(flags)))
-    return Chain.fit(rows, names, values, list(categories), settings)
+    labels = np.column_stack([table[f].to_numpy()[order] for f in flags]).astype(float)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    numbers, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    del table, lists
+    flat = flat.astype(np.int32)
+    chain = Chain.fit([flat[ends[k] : ends[k + 1]] for k in order], len(numbers), labels, list(categories), settings)
+    used = {int(numbers[c]): k for c, k in chain.vocabulary.items()}
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set().union(*(features_of(t, prefixes) for t in batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(f for f in seen if number(f) in used), pa.string())], names=["f"])
+
+    names = sample.select("text").mapInArrow(name, "f string").distinct().collect()
+    chain.vocabulary = {r["f"]: used[number(r["f"])] for r in names}
+    return chain
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
