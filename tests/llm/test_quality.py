@@ -2,7 +2,10 @@ import random
 import re
 import string
 
+import zstandard
+
 from trackframe.llm.quality import Bands, quality_rules, repeated_words
+from trackframe.llm.queries import op1_quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +66,61 @@ def test_chunks_show_what_the_whole_hides(make, words):
 def test_empty_table_repeats_and_null_ids(make):
     assert quality_rules(make([])).count() == 0
     assert quality_rules(make([(None, "a"), (None, "a"), (3, None)])).count() == 3
+
+
+def brute_band(text):
+    """The verdict of the bands by plain loops, from the limits of the production setting."""
+    bands, raw = Bands(), (text or "").encode()
+    if not raw:
+        return "empty", 0, 0
+
+    def ratio(data):
+        return len(data) / len(zstandard.compress(data, 3))
+
+    def outside(data, limits):
+        r = ratio(data)
+        return -1 if r < limits[0] else 1 if r > limits[1] else 0
+
+    def of_length(n):
+        return [(low, high) for start, low, high in bands.whole if start <= n][-1]
+
+    chunks = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+    bad = [outside(c, bands.chunk_band if len(c) == 4096 else of_length(len(c))) if len(chunks) > 1 else 0 for c in chunks]
+    share = {s: sum(len(c) for c, b in zip(chunks, bad) if b == s) / len(raw) for s in (-1, 1)}
+    whole = outside(raw, of_length(len(raw)))
+    if whole > 0 or share[1] > 0.4:
+        judged = "repetitive"
+    elif whole < 0 or share[-1] > 0.4:
+        judged = "incompressible"
+    else:
+        judged = "mixed" if share[1] + share[-1] > 0.4 else "pass"
+    return judged, len(chunks), sum(map(bool, bad))
+
+
+def test_query_against_brute_force(spark, sf, words, tmp_path):
+    """The query itself: base counts and verdicts of the bundled documents and of awkward ones."""
+    r = random.Random(9)
+    texts = [t for (t,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    noise = " ".join("".join(r.choice(string.printable[:90]) for _ in range(40)) for _ in range(150))
+    prose = words(3000, 3, 2000)
+    texts += [None, "", "a", prose[:4096], prose[:4097], prose[:8191], prose[:8192], prose[:4096] + "ab " * 1200, prose[:5000] + noise[:4000]]
+    texts += [words(30_000, 4, 3000), "x" * 200_000, prose[:4096] + noise[:4096]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op1_quality_rules(spark, str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in out) == list(range(len(texts)))
+    for x in out:
+        text = texts[x.doc_id]
+        if len(text or "") < 20_000:
+            assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute(text)
+        assert (x.band, x.n_chunks, x.n_bad_chunks) == brute_band(text)
+        assert x.kept == (not x.base_failed and x.band == "pass")
+
+
+def test_every_byte_is_in_a_chunk(make, words):
+    """A repetitive tail is seen although it is no full chunk and the text as a whole has an ordinary ratio."""
+    prose = words(900, 1, 900).encode()[:4096].decode()
+    tail = "the very same line\n" * 180
+    rows = {x.doc_id: x for x in quality_rules(make([prose, prose + tail, prose + prose[:3400][::-1]])).collect()}
+    assert rows[1].ratio < Bands().limits(rows[1].n_bytes)[1] and rows[1].n_bytes < 8192
+    assert (rows[0].band, rows[1].band, rows[2].band) == ("pass", "repetitive", "pass")
+    assert (rows[1].n_chunks, rows[1].n_bad_chunks) == (2, 1)

@@ -4,7 +4,8 @@ A text is repetitive if zstandard shrinks it much further than prose of its
 length, and noise if it hardly shrinks at all. What is usual depends on the
 length, as short texts have little to refer back to, so each length has a band of
 its own. Long texts are judged by fixed chunks as well: a page of prose with
-a long run of one line in it has an ordinary ratio as a whole.
+a long run of one line in it has an ordinary ratio as a whole. Every byte is in a chunk: the
+last one is shorter and has the band of its length.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ class Bands:
     """Limits of the ratio (bytes before / after) by length in bytes.
 
     ``whole`` has (shortest length, least ratio, greatest ratio), by length.
-    A text fails if its ratio is outside the band of its length, or if more
-    than ``chunk_share`` of its full chunks are outside ``chunk_band``.
+    A text fails if its ratio is outside the band of its length, or if chunks with more
+    than ``chunk_share`` of its bytes are outside theirs: ``chunk_band`` for a full chunk, and for the
+    last one that of ``whole`` for its length.
     """
 
     level: int = 3
@@ -48,7 +50,11 @@ class Bands:
     )
     chunk_bytes: int = 4096
     chunk_band: tuple[float, float] = (1.3, 4.5)
-    chunk_share: float = 0.5
+    chunk_share: float = 0.4
+
+    def limits(self, n: int) -> tuple[float, float]:
+        """Least and greatest ratio of ``n`` bytes as a whole."""
+        return next((low, high) for start, low, high in reversed(self.whole) if n >= start)
 
 
 SCHEMA = (
@@ -97,28 +103,30 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
 
 
 def verdict(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, int, int, str]:
-    """Ratio, full chunks, chunks outside their band, and the band's judgement."""
+    """Ratio, chunks, chunks outside their band, and the band's judgement. A text of one chunk is judged as a whole alone."""
     n = len(raw)
     ratio = n / len(packer.compress(raw))
-    low, high = next((lo, hi) for start, lo, hi in reversed(bands.whole) if n >= start)
-    n_chunks = n // bands.chunk_bytes
-    bad_low = bad_high = 0
+    low, high = bands.limits(n)
+    n_chunks = -(-n // bands.chunk_bytes)
+    n_bad = bytes_low = bytes_high = 0
     if n_chunks > 1:
-        for k in range(n_chunks):
-            chunk = raw[k * bands.chunk_bytes : (k + 1) * bands.chunk_bytes]
+        for start in range(0, n, bands.chunk_bytes):
+            chunk = raw[start : start + bands.chunk_bytes]
+            least, most = bands.chunk_band if len(chunk) == bands.chunk_bytes else bands.limits(len(chunk))
             r = len(chunk) / len(packer.compress(chunk))
-            bad_low += r < bands.chunk_band[0]
-            bad_high += r > bands.chunk_band[1]
-    limit = bands.chunk_share * n_chunks
-    if ratio > high or bad_high > limit:
+            bytes_low += len(chunk) * (r < least)
+            bytes_high += len(chunk) * (r > most)
+            n_bad += not least <= r <= most
+    limit = bands.chunk_share * n
+    if ratio > high or bytes_high > limit:
         judged = "repetitive"
-    elif ratio < low or bad_low > limit:
+    elif ratio < low or bytes_low > limit:
         judged = "incompressible"
-    elif bad_low + bad_high > limit:
+    elif bytes_low + bytes_high > limit:
         judged = "mixed"
     else:
         judged = "pass"
-    return ratio, n_chunks, bad_low + bad_high, judged
+    return ratio, n_chunks, n_bad, judged
 
 
 def quality_rules(
@@ -127,7 +135,7 @@ def quality_rules(
     """Base counts, compression ratio and verdict of every document.
 
     Returns a row per input row: doc_id, the base counts, ``n_bytes``, ``ratio``
-    (null where there are no bytes), ``n_chunks``, ``n_bad_chunks``, ``band``
+    (null where there are no bytes), ``n_chunks`` (the last, shorter one too), ``n_bad_chunks``, ``band``
     ('pass', 'repetitive', 'incompressible', 'mixed' or 'empty'), ``base_failed``
     and ``kept``. A null or empty text counts zero words, so it is base_failed and
     not kept; a null doc_id stays null; repeated rows are judged each on its own;
