@@ -78,8 +78,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    references, stored = media.store_and_rebuild(read(spark, sf_dir, "documents"))
-    return references.join(media.media_facts(stored), "key").drop("key")
+    references, lists, chunks = media.store(read(spark, sf_dir, "documents"))
+    return references.join(media.media_facts(media.rebuild(lists, chunks)), "key").drop("key")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
