@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.llm import bpe, chat, langid, licenses, media, mixing, quality, simhash, substring, toxicity
+from trackframe.llm.license_texts import templates as known_texts
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -62,13 +63,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: A line of a text that is a notice of its own.
+NOTICE = r"(?m)^(Licensed|Released|This work is licensed) under [^\n]+[.]$"
+
+
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files: source / thousand / name. One that begins with its notice is its directory's licence file."""
-    notice = "|".join(f"\\Q{t}\\E" for t in licenses.TEMPLATES.values())
-    is_notice = F.coalesce(F.col("text").rlike(f"^({notice})"), F.lit(False))
-    name = F.concat(F.when(is_notice, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
-    shard = F.floor(F.col("doc_id") / 1000).cast("string")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), shard, name)
+    """Documents as files in source / ten thousand / thousand / hundred of their id.
+
+    Of those with a notice line one in four is a licence file, of its hundred or of one or two directories above.
+    """
+    levels = [F.floor(F.col("doc_id") / n).cast("string") for n in (10_000, 1_000, 100)]
+    notice = F.coalesce(F.col("text").rlike(NOTICE), F.lit(False)) & (F.col("doc_id") % 4 == 0)
+    above = [F.when(~F.coalesce(notice, F.lit(False)) | (F.col("doc_id") % 3 >= k), levels[k]) for k in (1, 2)]
+    name = F.concat(F.when(notice, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), levels[0], *above, name)
     return docs.select("doc_id", path.alias("path"), "text")
 
 
@@ -136,45 +144,59 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
 def _license_sql() -> str:
-    """The scan of documents as SQL: the templates' weights are a table."""
-    known = licenses.Templates(licenses.TEMPLATES)
+    """The scan of documents as SQL: the templates' weights are tables."""
+    known = licenses.Templates(known_texts())
     idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in known.idf.items())
-    vectors = ", ".join(f"('{name}', '{t}', {w!r}::DOUBLE)" for name, v in known.vectors.items() for t, w in v.items())
-    starts = " OR ".join(f"starts_with(text, '{t}')" for t in licenses.TEMPLATES.values())
+    vectors = ", ".join(f"({k}, '{known.licenses[k]}', '{t}', {w!r}::DOUBLE)" for k, v in enumerate(known.vectors) for t, w in v.items())
     return f"""
-WITH idf(token, idf) AS (VALUES {idf}), vectors(license, token, weight) AS (VALUES {vectors}),
+WITH idf(token, idf) AS (VALUES {idf}), vectors(k, license, token, weight) AS (VALUES {vectors}),
 files AS MATERIALIZED (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') || '/' || (doc_id // 1000)::VARCHAR AS dir,
-         CASE WHEN {starts} THEN 'LICENSE-' ELSE '' END || doc_id::VARCHAR || '.txt' AS name
+  SELECT doc_id, coalesce(text, '') AS text, doc_id % 4 = 0 AND coalesce(regexp_matches(text, '{NOTICE}'), false) AS is_file,
+         coalesce(source, '') || '/' || (doc_id // 10000)::VARCHAR AS top, '/' || (doc_id // 1000)::VARCHAR AS mid, '/' || (doc_id // 100)::VARCHAR AS low
   FROM documents
-), marked AS (SELECT *, starts_with(name, 'LICENSE-') AS is_file FROM files),
-lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM marked
-), headers AS (
-  SELECT DISTINCT doc_id, line FROM lines WHERE regexp_matches(line, '{licenses.HEADER}')
+), marked AS MATERIALIZED (
+  SELECT doc_id, text, is_file, top || CASE WHEN NOT is_file OR doc_id % 3 >= 1 THEN mid ELSE '' END || CASE WHEN NOT is_file OR doc_id % 3 >= 2 THEN low ELSE '' END AS dir,
+         CASE WHEN is_file THEN 'LICENSE-' ELSE '' END || doc_id::VARCHAR || '.txt' AS name
+  FROM files
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM marked
+), pairs AS (
+  SELECT doc_id, concat_ws(chr(10), line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos)) AS line FROM lines
+), passages AS MATERIALIZED (
+  SELECT DISTINCT doc_id, line FROM (
+    SELECT doc_id, line FROM lines UNION ALL SELECT doc_id, line FROM pairs
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '{licenses.BLANK}')) AS line FROM marked
+  ) WHERE regexp_matches(line, '{licenses.HEADER}')
   UNION SELECT doc_id, text FROM marked WHERE is_file
 ), words AS (
-  SELECT doc_id, line, unnest(regexp_extract_all(lower(line), '{licenses.TOKEN}')) AS token FROM headers
-), weights AS (
+  SELECT doc_id, line, unnest(regexp_extract_all(lower(line), '{licenses.TOKEN}')) AS token FROM passages
+), weights AS MATERIALIZED (
   SELECT doc_id, line, token, count(*) * coalesce(any_value(idf), {known.unknown!r}) AS w FROM words LEFT JOIN idf USING (token) GROUP BY doc_id, line, token
 ), norms AS (
   SELECT doc_id, line, sqrt(sum(w * w)) AS n FROM weights GROUP BY doc_id, line
 ), cosines AS (
   SELECT doc_id, license, max(c) AS c FROM (
-    SELECT doc_id, line, license, round(sum(w * weight) / any_value(n), 9) AS c
-    FROM weights JOIN vectors USING (token) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, license
+    SELECT doc_id, line, k, any_value(license) AS license, round(sum(w * weight) / any_value(n), 9) AS c
+    FROM weights JOIN vectors USING (token) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, k
   ) GROUP BY doc_id, license
 ), own AS (
   SELECT doc_id, license AS own_license, c AS cosine FROM cosines WHERE c >= 0.7
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, license) = 1
 ), held AS (
-  SELECT dir, own_license AS given FROM marked JOIN own USING (doc_id) WHERE is_file
+  SELECT dir AS above, own_license AS given FROM marked JOIN own USING (doc_id) WHERE is_file
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_license) = 1
+), dirs AS (
+  SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM marked
+), ancestors AS (
+  SELECT dir, depth, array_to_string(parts[1:depth], '/') AS above FROM (SELECT dir, parts, unnest(range(0, len(parts) + 1)) AS depth FROM dirs)
+), nearest AS (
+  SELECT dir, given, above FROM ancestors JOIN held USING (above)
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1
 )
 SELECT doc_id, dir || '/' || name AS path, own_license, round(cosine, 6) AS cosine, coalesce(own_license, given) AS license,
-       CASE WHEN own_license IS NULL AND given IS NOT NULL THEN dir END AS license_from,
+       CASE WHEN own_license IS NULL AND given IS NOT NULL THEN above END AS license_from,
        CASE WHEN own_license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
-FROM marked LEFT JOIN own USING (doc_id) LEFT JOIN held USING (dir)
+FROM marked LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (dir)
 """
 
 
