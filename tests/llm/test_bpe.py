@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trackframe.llm import bpe
-from trackframe.llm.queries import bpe_digests
+from trackframe.llm.queries import bpe_digests, op4_bpe
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -71,3 +71,51 @@ def test_blocks_and_a_full_store(monkeypatch, library, words):
     for seed in range(5):
         texts = [words(100, seed), words(50, seed + 50)]
         assert lists(own.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_blocks_buckets_and_plan(spark, make, library, words, monkeypatch):
+    """Many small blocks that share pieces give what one gives; the texts are cut in one stage, and documents and pieces share an exchange."""
+    texts = [words(r, 3, 60) if r % 7 else None for r in range(120)] + ["", "long " * 4000]
+    docs = make(texts).repartition(5)
+    for chars in (200, 1 << 24):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)  # workers start from this process, so they see it only if forked anew
+        df = bpe.encode_documents(docs, PATH, P.PATTERN)
+        out = {x.doc_id: x.ids for x in df.collect()}
+        assert len(out) == len(texts)
+        assert all(out[k] == library.encode_ordinary(t or "") for k, t in enumerate(texts))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("run(doc_id") == 1, plan
+
+
+def test_one_process_in_blocks(library, words):
+    """Split, replay and assemble by hand, over blocks whose lists are replayed together."""
+    texts = [words(200, k, 300) for k in range(12)] + ["", "né 👍"]
+    split, replay = bpe._split(PATH, P.PATTERN, 16), bpe._replay(PATH, P.PATTERN)
+    rows = []
+    for first in range(0, len(texts), 5):
+        part = texts[first : first + 5]
+        batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array(range(first, first + len(part))), bpe.pa.array([t.encode() for t in part])], names=["doc_id", "text"])
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(bpe, "TaskContext", type("T", (), {"get": staticmethod(lambda f=first: type("C", (), {"partitionId": lambda self: f})())}))
+            rows += split(iter([batch]))
+    table = bpe.pa.Table.from_batches(rows)
+    pieces = table.filter(bpe.pc.equal(table["kind"], bpe.PIECES))
+    seen = [p for data in pieces["data"].to_pylist() for p in bpe.unpack_pieces(data)]
+    assert len(seen) > len(set(seen))  # blocks share pieces
+    made = bpe.pa.Table.from_batches(list(replay(iter(table.sort_by("route").to_batches()))))
+    out = {}
+    for block in set(table["block"].drop_null().to_pylist()):
+        own = table.filter(bpe.pc.equal(table["route"], block))
+        got = bpe._assemble(own, made.filter(bpe.pc.equal(made["route"], block)))
+        out |= dict(zip(got["doc_id"].to_pylist(), got["ids"].to_pylist()))
+    assert [out[k] for k in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_query_against_the_library(spark, sf, library):
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = op4_bpe(spark, sf).collect()
+    assert len(out) == len(docs)
+    for row in out:
+        ids = library.encode_ordinary(docs[row.doc_id] or "")
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert row.decoded_sha256 == hashlib.sha256((docs[row.doc_id] or "").encode()).hexdigest()
