@@ -237,9 +237,9 @@ def unpack_pieces(data: bytes) -> list[bytes]:
 
 
 #: Characters of a block. A document stays whole, so one that is longer is a block by itself.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 22
 #: Packed bytes of piece lists that are replayed together.
-REPLAY_BYTES = 1 << 20
+REPLAY_BYTES = 1 << 17
 #: Kinds of rows.
 DOCUMENT, ORDER, PIECES = 0, 1, 2
 SPLIT = "route long, kind byte, doc_id long, block long, data binary"
