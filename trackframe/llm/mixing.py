@@ -114,7 +114,7 @@ def select_seeded(sized: DataFrame, passes: DataFrame, key: str, seed: int, ties
         .drop(passes[key])
         .withColumn(
             "place",
-            F.when(F.col("before") + F.col("tokens") <= F.col("rest"), "in").when(
+            F.when((F.col("rest") > 0) & (F.col("before") + F.col("tokens") <= F.col("rest")), "in").when(
                 F.col("before") >= F.col("rest"), "out"
             ).otherwise("border"),
         )
