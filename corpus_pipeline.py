@@ -1,7 +1,9 @@
 """A corpus from raw documents to token ids, as stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's ``docs``. All but the last return the columns of ``documents``.
+the next one's ``docs``. All but the last return the columns of ``documents``; other columns, whatever their names,
+are dropped at the start of each. An empty table stays empty in every stage. Rows are told apart by all their columns, never
+by doc_id alone, which may be null or repeat.
 """
 
 from __future__ import annotations
@@ -23,9 +25,16 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is told with some certainty."""
+    """Documents with letters whose language is told with some certainty.
+
+    Null and empty texts and those without a letter go. Repeated rows and null or repeated ids are judged each by its own
+    text; texts are read whole, however long. A tie between languages is certain enough only by LEAST_SCORE. A null lang teaches
+    nothing; where no row has a lang there is nothing to reject by, and every text with a letter stays.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.train(docs, ~langid.held_out())
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = langid.identify(docs, model, carry=COLUMNS[1:])
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -49,7 +58,11 @@ def _joined(docs: DataFrame, picked: DataFrame, how: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id, null last; of several with it the one whose row hashes least."""
+    """One document of each group of near-duplicates: that with the smallest doc_id, null last; of several with it the one whose row hashes least.
+
+    Null, empty and blank texts are one group. Rows of one doc_id with unlike texts, and rows without one, are kept apart; rows
+    that are equal in full are one. Long texts count by all their shingles.
+    """
     docs = _marked(docs)
     found = simhash.near_duplicates(docs, carry=ROW[1:])
     rows = found.groupBy("root", *ROW).agg(F.count("*").alias("n"))
@@ -59,7 +72,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words that an earlier document has; documents of which nothing is left go."""
+    """Texts without passages of 50 words that an earlier document has; documents of which nothing is left go.
+
+    Null, empty and short texts stay as they are, and so does a text that loses nothing, with its spaces. A null doc_id comes
+    after every other: such a row loses what others have and costs them none. Rows of one doc_id are no reason
+    against each other, so repeated rows stay.
+    """
     out = substring.dedup_substrings(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), tidy=False)
     out = out.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept").cast("string"))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -67,7 +85,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Null and empty texts have no words, so the mix takes none or all of them as it takes others, by their place in the order.
+    A null source is a source. Rows that are equal in full count by their number, wherever they tie; rows of one doc_id
+    or of none are taken each.
+    """
     docs = _marked(docs)
     taken = mixing.mix(docs, carry=ROW[1:]).groupBy(*ROW).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     rows = _joined(docs, cut(taken.where("copies > 0"), docs.count()), "inner")
@@ -75,7 +98,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digests of ids and decoded bytes."""
+    """Token ids of every document, and the digests of ids and decoded bytes.
+
+    Null and empty texts have no ids, a null doc_id stays null, and repeated rows have a row each.
+    """
     return bpe_digests(docs.select(*COLUMNS))
 
 
