@@ -143,3 +143,13 @@ def test_sample_is_bounded_and_whole_rows_are_counted_once(spark):
     assert model.langs == ["bb"]
     whole = langid.train(docs, F.lit(True))
     assert whole.langs == ["bb", "cc"] and whole.words.keys() == {"ungkeit", "e" * 5000}
+
+
+def test_model_goes_to_workers_whole():
+    import pickle
+
+    model = Model.fit(columns([("x", "a", 1), ("y", "é", 2)]), columns([("x", "a", 1), ("y", " é", 1)]), Settings())
+    for one in (model, Model.fit((np.array([]),) * 3, columns([("x", "a", 1)]), Settings())):
+        first = pickle.loads(pickle.dumps(one))
+        assert (first.words, first.grams, first.langs) == (one.words, one.grams, one.langs)
+        assert (first.table == one.table).all()

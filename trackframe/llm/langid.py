@@ -59,6 +59,10 @@ class Model:
     def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, settings: Settings):
         self.langs, self.words, self.grams, self.table, self.settings = langs, words, grams, table, settings
 
+    def __reduce__(self):
+        """Goes to workers as two long strings and a table, from which a task makes its dictionaries."""
+        return _received, (self.langs, "\n".join(self.words), "\n".join(self.grams), self.table, self.settings)
+
     @classmethod
     def fit(cls, word_counts: Counts, gram_counts: Counts, settings: Settings) -> Model:
         """Counts are columns (lang, text, n); each n-gram length is a distribution of its own."""
@@ -94,6 +98,12 @@ class Model:
         return Scorer(self)
 
 
+def _received(langs: list[str], words: str, grams: str, table: np.ndarray, settings: Settings) -> Model:
+    each = [text.split("\n") if text else [] for text in (words, grams)]
+    places = dict(zip(each[0], range(len(each[0])))), dict(zip(each[1], range(len(each[0]), len(table))))
+    return Model(langs, *places, table, settings)
+
+
 class Scorer:
     """Predicts with a model; keeps the vectors of unseen words up to a bound."""
 
@@ -102,15 +112,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.unseen: dict[str, int] = {}
-        self.table = np.zeros((len(model.table) + self.KEPT, max(len(model.langs), 1)), np.float32)
-        self.table[: len(model.table)] = model.table
+        self.table = np.zeros((self.KEPT, max(len(model.langs), 1)), np.float32)
 
     def add(self, word: str) -> int:
         k = self.unseen.get(word)
         if k is None:
-            k = self.unseen[word] = len(self.model.table) + len(self.unseen)
+            k = self.unseen[word] = len(self.unseen)
             self.table[k] = self.model.backoff(word)
-        return k
+        return -1 - k
 
     def predict(self, raw: bytes | None) -> tuple[str, float]:
         words = words_of(raw)
@@ -122,8 +131,8 @@ class Scorer:
             if len(self.unseen) + len(part) > self.KEPT:
                 self.unseen.clear()
             get, add = self.model.words.get, self.add
-            at = [k if (k := get(w)) is not None else add(w) for w in part]
-            sums += self.table[at].sum(axis=0, dtype=np.float64)
+            at = np.fromiter((k if (k := get(w)) is not None else add(w) for w in part), np.int64, len(part))
+            sums += self.model.table[at[at >= 0]].sum(axis=0, dtype=np.float64) + self.table[-1 - at[at < 0]].sum(axis=0, dtype=np.float64)
         logits = sums / len(words) * min(len(words), self.model.settings.full_words)
         best = int(np.argmax(logits))
         return self.model.langs[best], float(1 / np.exp(logits - logits[best]).sum())
