@@ -100,7 +100,7 @@ def index_search(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest rows of every query, from three quarters of the cells."""
     df = _vectors(spark, sf)
     index = search.VectorIndex.build(df, "vec_id", "e", cells=search.VectorIndex.CELLS)
-    out = index.search_join(_queries(df), "query_id", 10, probes=max(1, 3 * index.centroids.count() // 4))
+    out = index.search_join(_queries(df), "query_id", 10)
     return out.select("query_id", F.col("rank").cast("long"), "vec_id", r6("score"))
 
 

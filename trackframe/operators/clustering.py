@@ -27,11 +27,11 @@ def assigned(df: DataFrame, centroids: DataFrame, vector: str, out: str = "clust
 def lloyd(df: DataFrame, key: str, vector: str, k: int, iterations: int = 100, tolerance: float = 1e-4, start: DataFrame | None = None) -> DataFrame:
     """Centroids (cluster, centroid) after Lloyd's iterations from ``start``, or from the k rows with the smallest keys.
 
-    A cluster that loses all its rows gets the zero vector. Stops when no centroid moves by more than ``tolerance`` (squared). Each round
-    is a map-side aggregate; k centroids come to the driver.
+    A cluster that loses all its rows gets the zero vector. Stops when no centroid moves by more than ``tolerance`` (squared). The vectors are
+    written once, and each round is a map-side aggregate over them; k centroids come to the driver.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("_key"), v.doubles(F.col(vector)).alias("_v"))
+    rows = written(df.select(F.col(key).alias("_key"), v.doubles(F.col(vector)).alias("_v")), "vectors")
     if start is None:
         first = rows.orderBy("_key").limit(k).collect()
         now = {i: r["_v"] for i, r in enumerate(first)}
