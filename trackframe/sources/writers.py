@@ -9,6 +9,7 @@ from trackframe.functions import geometry as g
 from trackframe.functions import text
 from trackframe.operators.segments import names_of
 from trackframe.schema import JOINT_COUNT, JOINT_NAMES, JOINT_PARENT, MOTION_TYPES, REST_OFFSETS, SCHEMA_VERSION
+from trackframe.session import written
 
 # BVH
 
@@ -204,10 +205,12 @@ def type_directory(label: Column) -> Column:
 def export_names(clips: DataFrame, label: str = "motion_type", order: str = "clip_id") -> DataFrame:
     """Directory and file stem of each clip: its type in lower case, and clip_0000 and so on by ``order`` over all clips.
 
-    The number is a running count, made from counts of ranges of ids, so that no task orders all clips.
+    The number is a running count, made from counts of ranges of ids, so that no task orders all clips. The ranges are written
+    before they are counted, so both sides of the join see the same ones.
     """
     ranged = clips.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     ranged = ranged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    ranged = written(ranged, "ranged")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     from pyspark.sql import Window
 

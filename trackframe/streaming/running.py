@@ -33,20 +33,37 @@ class Stats:
 class _Listener(StreamingQueryListener):
     def __init__(self, stats: Stats, done: Callable[[str | None], None] | None):
         self.stats, self.done, self.id = stats, done, None
+        self.early: list[tuple[str, Callable[[], None]]] = []  # what happened before the query's id was known
+        self.lock = threading.Lock()
+
+    def known(self, query_id: str) -> None:
+        with self.lock:
+            self.id = query_id
+            early, self.early = self.early, []
+        for whose, act in early:
+            if whose == query_id:
+                act()
+
+    def _of(self, whose: str, act: Callable[[], None]) -> None:
+        with self.lock:
+            if self.id is None:
+                self.early.append((whose, act))
+                return
+        if whose == self.id:
+            act()
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
-        if self.id in (None, str(event.progress.id)):
-            self.stats.take(event.progress)
+        self._of(str(event.progress.id), lambda: self.stats.take(event.progress))
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        if self.done and self.id in (None, str(event.id)):
-            self.done(event.exception)
+        if self.done:
+            self._of(str(event.id), lambda: self.done(event.exception))
 
 
 class Run:
@@ -69,7 +86,7 @@ class Run:
         if available_now:
             writer = writer.trigger(availableNow=True)
         self.query = writer.start()
-        self._listener.id = str(self.query.id)
+        self._listener.known(str(self.query.id))
         return self
 
     def wait(self, seconds: float | None = None) -> bool:
@@ -95,14 +112,21 @@ class Run:
 
 
 def to_end(stream: DataFrame, name: str = "stream", mode: str = "append") -> DataFrame:
-    """All that a stream gives for the files that are there, as a table in the shared folder: runs it to its end."""
+    """All that a stream gives for the files that are there, as a table in the shared folder: runs it to its end.
+
+    Each batch has a folder of its own number, so one that is run again after a failure replaces what it wrote; in complete mode
+    each replaces the one before.
+    """
     path = shared_folder(stream.sparkSession, name)
-    write = "overwrite" if mode == "complete" else "append"
-    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(path)
-    run = Run(stream, f"{path}-state").start(lambda batch, _: batch.write.mode(write).parquet(path), mode=mode, available_now=True)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/all" if mode == "complete" else f"{path}/batch{number}")
+
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
+    run = Run(stream, f"{path}-state").start(put, mode=mode, available_now=True)
     run.wait()
     error = run.query.exception() if run.query else None
     run.stop()
     if error is not None:
         raise error
-    return stream.sparkSession.read.parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
