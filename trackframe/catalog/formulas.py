@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.catalog.base import BY, IDX, TRACKS, query, r6, read, tracks
-from trackframe.functions import boxes, vectors
+from trackframe.functions import boxes, heatmap, vectors
 from trackframe.functions import geometry as g
 from trackframe.operators import clips, segments, windows
-from trackframe.schema import MOTION, OKS_SIGMAS
+from trackframe.schema import COCO_PAIRS, MOTION, OKS_SIGMAS
 
 KEYS = ["l_orderkey", "l_linenumber"]
 #: Two vectors of an order line, in SQL and here.
@@ -295,3 +295,53 @@ def condition_vectors(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "embeddings").select("vec_id", c.alias("c")).withColumn("v", clips.condition_vector(F.col("c")))
     at = lambda k: F.get("v", F.lit(k))
     return df.select("vec_id", F.size("v").cast("long").alias("n"), r6(at(0), "vx"), r6(at(10), "action"), r6(at(13), "style0"), r6(at(51), "style38"), at(77).alias("last"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT *, list_max(v) AS top, list_position(v, list_max(v)) AS p FROM e),
+c AS (SELECT *, (p - 1) % 8 AS x, (p - 1) // 8 AS y, coalesce(v[p - 1], 0) AS l, coalesce(v[p + 1], 0) AS r, coalesce(v[greatest(p - 8, 0)], 0) AS u, coalesce(v[p + 8], 0) AS d FROM t)
+SELECT vec_id, round(top, 6) AS conf, round(x + CASE WHEN x BETWEEN 1 AND 6 AND abs(2 * top - l - r) > 1e-6 THEN least(greatest((r - l) / (2 * (2 * top - l - r)), -0.5), 0.5) ELSE 0 END, 6) + 0.0 AS x,
+  round(y + CASE WHEN y BETWEEN 1 AND 6 AND abs(2 * top - u - d) > 1e-6 THEN least(greatest((d - u) / (2 * (2 * top - u - d)), -0.5), 0.5) ELSE 0 END, 6) + 0.0 AS y FROM c"""
+)
+def heatmap_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of 64 as maps of 8 by 8: the peak between their cells."""
+    df = read(spark, sf, "embeddings").select("vec_id", heatmap.peak(F.transform("embedding", lambda x: x.cast("double")), 8).alias("p"))
+    return df.select("vec_id", *(r6(F.col("p")[c], c) for c in ("conf", "x", "y")))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 2100 - 60 + (20 + l_suppkey % 90) / 2.0::DOUBLE AS cx, l_quantity * 24 - 40 + (30 + l_linenumber * 20) / 2.0::DOUBLE AS cy,
+  (20 + l_suppkey % 90) * 1.4::DOUBLE AS w, (30 + l_linenumber * 20) * 1.4::DOUBLE AS h FROM lineitem),
+g AS (SELECT *, CASE WHEN w / h > 0.75 THEN w ELSE h * 0.75::DOUBLE END AS gw, CASE WHEN w / h > 0.75 THEN w / 0.75::DOUBLE ELSE h END AS gh FROM b),
+c AS (SELECT l_orderkey, l_linenumber, greatest(trunc(cx - gw / 2)::INT, 0) AS x1, greatest(trunc(cy - gh / 2)::INT, 0) AS y1, least(trunc(cx + gw / 2)::INT, 1920) AS x2, least(trunc(cy + gh / 2)::INT, 1080) AS y2 FROM g)
+SELECT *, round((x1 + 6.37::DOUBLE * (x2 - x1) / 48) / 1920, 6) AS px, round((y1 + 60.11::DOUBLE * (y2 - y1) / 64) / 1080, 6) AS py FROM c WHERE x2 > x1 AND y2 > y1"""
+)
+def crop_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows around boxes, some of them outside the frame, and a peak of each window's map in the frame."""
+    c = F.col
+    box = boxes.box(c("l_partkey") % 2100 - 60.0, c("l_quantity") * 24 - 40, 20.0 + c("l_suppkey") % 90, 30.0 + c("l_linenumber") * 20)
+    df = _lines(spark, sf).select(*KEYS, heatmap.crop_window(box, 1920, 1080).alias("w")).where("w is not null")
+    peak = F.struct(F.lit(6.37).alias("x"), F.lit(60.11).alias("y"), F.lit(1.0).alias("conf"))
+    df = df.withColumn("p", heatmap.to_frame(peak, c("w"), 48, 64, 1920, 1080))
+    return df.select(*KEYS, "w.x1", "w.y1", "w.x2", "w.y2", r6("p.x").alias("px"), r6("p.y").alias("py"))
+
+
+_FLIPPED = list(range(17))
+for _a, _b in COCO_PAIRS:
+    _FLIPPED[_a], _FLIPPED[_b] = _b, _a
+
+
+@query(
+    "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), o AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, {j})" for k, j in enumerate(_FLIPPED))
+    + """) AS o(k, j))
+SELECT vec_id, k::BIGINT AS point, round((v[k + 1] + 1 - v[j + 18]) / 2, 6) + 0.0 AS x, round((v[k + 2] + v[j + 19]) / 2, 6) + 0.0 AS y, 0.75::DOUBLE AS conf FROM e, o"""
+)
+def flip_average(spark: SparkSession, sf: str) -> DataFrame:
+    """Key points of an image and of its mirror image, averaged."""
+    n = F.sequence(F.lit(0), F.lit(16))
+    x = lambda k: F.get("embedding", k).cast("double")
+    points = lambda shift, conf: F.transform(n, lambda k: F.struct(x(k + shift).alias("x"), x(k + shift + 1).alias("y"), F.lit(conf).alias("conf")))
+    df = read(spark, sf, "embeddings").select("vec_id", points(0, 1.0).alias("a"), points(17, 0.5).alias("b"))
+    df = df.select("vec_id", F.posexplode(heatmap.averaged(F.col("a"), heatmap.mirrored(F.col("b"), 17, COCO_PAIRS))).alias("point", "p"))
+    return df.select("vec_id", F.col("point").cast("long"), r6("p.x").alias("x"), r6("p.y").alias("y"), "p.conf")

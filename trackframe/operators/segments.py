@@ -91,7 +91,7 @@ MEASURES = (
 
 
 def window_label(m: dict[str, Column]) -> Column:
-    """A window's motion type by the first of fifteen rules that holds; ``m`` has MEASURES.
+    """A window's motion type by the first of fifteen rules that holds; ``m`` has MEASURES. The limits are fixed values.
 
     Speeds in cm/s, ``turn`` and ``yaw`` in degrees/s, limb activity in degrees per row.
     """

@@ -106,3 +106,6 @@ def joints(spark: SparkSession) -> DataFrame:
     """The skeleton as a dimension: code, name, parent (null at the root), rest offset."""
     rows = [(k, n, None if p < 0 else p, tuple(map(float, o))) for k, (n, p, o) in enumerate(zip(JOINT_NAMES, JOINT_PARENT, REST_OFFSETS))]
     return spark.createDataFrame(rows, T.StructType().add("code", T.IntegerType()).add("name", T.StringType()).add("parent", T.IntegerType()).add("offset", VEC3))
+
+#: Left and right key points of COCO, as places.
+COCO_PAIRS = ((1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (11, 12), (13, 14), (15, 16))
