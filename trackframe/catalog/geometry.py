@@ -35,15 +35,6 @@ def euler_to_quat(spark: SparkSession, sf: str) -> DataFrame:
     return _quats(spark, sf).select(*KEYS, *(r6(F.col("q")[c], c) for c in "wxyz"))
 
 
-@query(
-    f"""WITH {QUAT} SELECT l_orderkey, l_linenumber, round(degrees(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))), 4) + 0.0 AS x,
-  round(degrees(asin(least(greatest(2 * (w * y - z * x), -1), 1))), 4) + 0.0 AS y, round(degrees(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))), 4) + 0.0 AS z FROM q WHERE ex > -180"""
-)
-def quat_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    back = _quats(spark, sf).where("e.x > -180").withColumn("b", g.quat_to_euler(F.col("q")))
-    return back.select(*KEYS, *((F.round(F.col("b")[c], 4) + F.lit(0.0)).alias(c) for c in "xyz"))
-
-
 def _whole_turns(c: str) -> str:
     return f"CASE WHEN {c} <= -180 THEN {c} + 360 ELSE {c} END AS {c}"
 
@@ -54,7 +45,7 @@ def _whole_turns(c: str) -> str:
 SELECT l_orderkey, l_linenumber, {_whole_turns("x")}, y, {_whole_turns("z")} FROM b"""
 )
 def quat_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
-    """quat_roundtrip of every order line, with half a turn as 180 degrees whichever way it went."""
+    """Angles to a quaternion and back, with half a turn as 180 degrees whichever way it went."""
     back = _quats(spark, sf).withColumn("b", g.quat_to_euler(F.col("q")))
     out = back.select(*KEYS, *((F.round(F.col("b")[c], 4) + F.lit(0.0)).alias(c) for c in "xyz"))
     return out.selectExpr(*KEYS, _whole_turns("x"), "y", _whole_turns("z"))
@@ -69,17 +60,6 @@ def rot6d(spark: SparkSession, sf: str) -> DataFrame:
     return six.select(*KEYS, *(r6(F.get("r", F.lit(k)), f"r{k}") for k in range(6)))
 
 
-@query(
-    f"""WITH {QUAT} SELECT l_orderkey, l_linenumber, round(abs(w), 6) AS w, round(CASE WHEN w < 0 THEN -x ELSE x END, 6) + 0.0 AS x,
-  round(CASE WHEN w < 0 THEN -y ELSE y END, 6) + 0.0 AS y, round(CASE WHEN w < 0 THEN -z ELSE z END, 6) + 0.0 AS z FROM q WHERE abs(w) > 0.001"""
-)
-def rot6d_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Six numbers back to the same rotation, with the sign that makes w positive."""
-    df = _quats(spark, sf).where("abs(q.w) > 0.001").withColumn("b", g.rot6d_to_quat(g.quat_to_rot6d(F.col("q"))))
-    sign = F.when(F.col("b.w") < 0, -1.0).otherwise(1.0)
-    return df.select(*KEYS, *(r6(F.col("b")[c] * sign, c) for c in "wxyz"))
-
-
 #: The sign that makes the first number of a quaternion positive which is not zero: both signs are one rotation.
 SIGN = "CASE WHEN abs(w) > 1e-5 THEN sign(w) WHEN abs(x) > 1e-5 THEN sign(x) WHEN abs(y) > 1e-5 THEN sign(y) ELSE sign(z) END"
 
@@ -89,7 +69,7 @@ SIGN = "CASE WHEN abs(w) > 1e-5 THEN sign(w) WHEN abs(x) > 1e-5 THEN sign(x) WHE
 SELECT l_orderkey, l_linenumber, round(w * s, 6) + 0.0 AS w, round(x * s, 6) + 0.0 AS x, round(y * s, 6) + 0.0 AS y, round(z * s, 6) + 0.0 AS z FROM s"""
 )
 def rot6d_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
-    """rot6d_roundtrip of every order line, half turns included."""
+    """Six numbers back to the same rotation, half turns included."""
     df = _quats(spark, sf).withColumn("b", g.rot6d_to_quat(g.quat_to_rot6d(F.col("q")))).select(*KEYS, "b.*")
     return df.withColumn("s", F.expr(SIGN)).select(*KEYS, *(r6(F.col(c) * F.col("s"), c) for c in "wxyz"))
 
@@ -132,23 +112,13 @@ def _turned(orders: DataFrame) -> DataFrame:
     return out.select("o_orderkey", F.col("joint").cast("long"), *(r6(F.col("p")[c], c) for c in "xyz"))
 
 
-@query(
-    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {x}, {y}, {z})" for k, (x, y, z) in enumerate(_rest())) + """) AS r(joint, x, y, z)),
-a AS (SELECT o_orderkey, radians(o_custkey % 360) AS t FROM orders WHERE o_orderkey <= 200)
-SELECT o_orderkey, joint::BIGINT AS joint, round(x * cos(t) + z * sin(t) + 1, 6) + 0.0 AS x, round(y + 90, 6)::DOUBLE AS y, round(z * cos(t) - x * sin(t) + 2, 6) + 0.0 AS z FROM a, r"""
-)
-def fk_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Joint places of a skeleton in rest pose that is turned about the vertical axis."""
-    return _turned(read(spark, sf, "orders").where("o_orderkey <= 200"))
-
-
 @query(
     "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {x}, {y}, {z})" for k, (x, y, z) in enumerate(_rest())) + """) AS r(joint, x, y, z)),
 a AS (SELECT o_orderkey, radians(o_custkey % 360) AS t FROM orders)
 SELECT o_orderkey, joint::BIGINT AS joint, round(x * cos(t) + z * sin(t) + 1, 6) + 0.0 AS x, round(y + 90, 6)::DOUBLE AS y, round(z * cos(t) - x * sin(t) + 2, 6) + 0.0 AS z FROM a, r"""
 )
 def fk_chain_all(spark: SparkSession, sf: str) -> DataFrame:
-    """fk_chain for every order."""
+    """Joint places of a skeleton in rest pose that is turned about the vertical axis, one turn for each order."""
     return _turned(read(spark, sf, "orders"))
 
 

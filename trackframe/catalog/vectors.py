@@ -14,39 +14,8 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", "label", v.doubles(F.col("embedding")).alias("e"))
 
 
-def _query_vector(spark: SparkSession, sf: str, key: int = 0) -> list[float]:
-    row = _vectors(spark, sf).where(F.col("vec_id") == key).first()
-    return list(row["e"]) if row else [0.0] * 64
-
-
-E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS q FROM e WHERE vec_id = 0)"
-
-
-@query(
-    f"""WITH {E}, s AS (SELECT vec_id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS c FROM e, q)
-SELECT vec_id, round(c, 6) AS similarity FROM s ORDER BY 1 - c, vec_id LIMIT 10"""
-)
-def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return search.knn(_vectors(spark, sf), _query_vector(spark, sf), 10, "vec_id", "e").select("vec_id", r6("similarity"))
-
-
-L2 = "sqrt(list_sum(list_transform(list_zip(e, q), lambda z: power(z[1] - z[2], 2))))"
-
-
-@query(f"WITH {E}, s AS (SELECT vec_id, {L2} AS d FROM e, q) SELECT vec_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS similarity FROM s ORDER BY d, vec_id LIMIT 10")
-def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
-    return search.knn(_vectors(spark, sf), _query_vector(spark, sf), 10, "vec_id", "e", "euclidean").select("vec_id", r6("distance"), r6("similarity"))
-
-
-@query(f"WITH {E}, s AS (SELECT vec_id, {L2} AS d FROM e, q) SELECT vec_id, round(d, 6) AS distance FROM s WHERE d <= 1.2 ORDER BY d, vec_id LIMIT 50")
-def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return search.knn(_vectors(spark, sf), _query_vector(spark, sf), 50, "vec_id", "e", "euclidean", 1.2).select("vec_id", r6("distance"))
-
-
-@query(f"WITH {E}, s AS (SELECT vec_id, {L2} AS d FROM e, q WHERE vec_id <> 0) SELECT vec_id, round(d, 6) AS distance FROM s ORDER BY d, vec_id LIMIT 1")
-def nearest_style(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _vectors(spark, sf).where("vec_id <> 0")
-    return search.nearest(rows, _query_vector(spark, sf), "vec_id", "e").select("vec_id", r6("distance"))
+def _queries(df: DataFrame) -> DataFrame:
+    return df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "e")
 
 
 @query(
@@ -57,22 +26,18 @@ SELECT query_id, rank, vec_id FROM r WHERE rank BETWEEN 1 AND 5"""
 )
 def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     df = _vectors(spark, sf)
-    queries = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "e")
-    out = search.knn_join(queries, df, 6, "query_id", "vec_id", "e").where("rank > 0")
+    out = search.knn_join(_queries(df), df, 6, "query_id", "vec_id", "e").where("rank > 0")
     return out.select("query_id", F.col("rank").cast("long"), "vec_id")
 
 
-def _queries(df: DataFrame) -> DataFrame:
-    return df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "e")
-
-
+L2 = "sqrt(list_sum(list_transform(list_zip(e, q), lambda z: power(z[1] - z[2], 2))))"
 L2_PAIRS = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, a.e AS q, b.vec_id, b.e FROM e a, e b WHERE a.vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, {L2} AS d FROM p)"""
 
 
 @query(f"WITH {L2_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM s) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank < 10")
 def knn_l2_join(spark: SparkSession, sf: str) -> DataFrame:
-    """knn_l2 for every query."""
+    """The ten nearest rows of every query by Euclidean distance, itself included."""
     df = _vectors(spark, sf)
     out = search.knn_join(_queries(df), df, 10, "query_id", "vec_id", "e", "euclidean")
     return out.select("query_id", F.col("rank").cast("long"), "vec_id", r6("distance"))
@@ -80,7 +45,7 @@ def knn_l2_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {L2_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM s WHERE d <= 1.2) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank < 50")
 def knn_threshold_join(spark: SparkSession, sf: str) -> DataFrame:
-    """knn_threshold for every query."""
+    """The rows within a distance of every query, the fifty nearest at most."""
     df = _vectors(spark, sf)
     out = search.knn_join(_queries(df), df, 50, "query_id", "vec_id", "e", "euclidean", max_distance=1.2)
     return out.select("query_id", F.col("rank").cast("long"), "vec_id", r6("distance"))
@@ -88,7 +53,7 @@ def knn_threshold_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {L2_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS i FROM s WHERE vec_id <> query_id) SELECT query_id, vec_id, round(d, 6) AS distance FROM r WHERE i = 1")
 def nearest_style_join(spark: SparkSession, sf: str) -> DataFrame:
-    """nearest_style for every query: of its two nearest rows one at least is another."""
+    """The nearest other row of every query: of its two nearest rows one at least is another."""
     df = _vectors(spark, sf)
     out = search.knn_join(_queries(df), df, 2, "query_id", "vec_id", "e", "euclidean").where("vec_id <> query_id")
     least = out.groupBy("query_id").agg(F.min(F.struct("distance", "vec_id")).alias("r"))
@@ -114,35 +79,6 @@ def label_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("label", F.posexplode("e").alias("dim", "x")).select("label", F.col("dim").cast("long"), r6("x"))
 
 
-BATCH = """b AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 128), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM b),
-p AS (SELECT x.vec_id AS anchor, x.label = y.label AS same, list_dot_product(x.e, y.e) / (x.n * y.n) AS raw FROM n x, n y WHERE x.vec_id <> y.vec_id)
-"""
-
-
-def _batch(spark: SparkSession, sf: str) -> DataFrame:
-    """A training batch: what a contrastive loss is over."""
-    return _vectors(spark, sf).where("vec_id < 128")
-
-
-@query(
-    f"""WITH {BATCH}, t AS (SELECT anchor, max(raw / 0.07) AS top FROM p GROUP BY anchor),
-l AS (SELECT p.anchor, any_value(top) + ln(sum(exp(raw / 0.07 - top))) - avg(raw / 0.07) FILTER (WHERE same) AS loss, count(*) FILTER (WHERE same) AS positives FROM p JOIN t ON p.anchor = t.anchor GROUP BY p.anchor)
-SELECT anchor, positives, round(least(greatest(loss, 0), 100), 6) AS loss FROM l WHERE positives > 0"""
-)
-def nt_xent(spark: SparkSession, sf: str) -> DataFrame:
-    out = aggregates.contrastive(_batch(spark, sf), "vec_id", "label", "e")
-    return out.where("positives > 0").select("anchor", "positives", r6("loss"))
-
-
-@query(
-    f"""WITH {BATCH}, h AS (SELECT anchor, min(raw) FILTER (WHERE same) AS hp, max(raw) FILTER (WHERE NOT same) AS hn FROM p GROUP BY anchor)
-SELECT anchor, round(hp, 6) AS hardest_positive, round(hn, 6) AS hardest_negative, round(greatest(hn - hp + 0.3, 0), 6) AS triplet FROM h WHERE hp IS NOT NULL AND hn IS NOT NULL"""
-)
-def hard_triplets(spark: SparkSession, sf: str) -> DataFrame:
-    out = aggregates.triplet_loss(aggregates.contrastive(_batch(spark, sf), "vec_id", "label", "e"))
-    return out.select("anchor", r6("hardest_positive"), r6("hardest_negative"), r6("triplet"))
-
-
 BATCHES = """n AS (SELECT vec_id, label, vec_id // 128 AS batch, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 p AS (SELECT x.vec_id AS anchor, x.label = y.label AS same, list_dot_product(x.e, y.e) / (x.n * y.n) AS raw FROM n x JOIN n y ON x.batch = y.batch AND x.vec_id <> y.vec_id)
 """
@@ -159,7 +95,7 @@ l AS (SELECT p.anchor, any_value(top) + ln(sum(exp(raw / 0.07 - top))) - avg(raw
 SELECT anchor, positives, round(least(greatest(loss, 0), 100), 6) AS loss FROM l WHERE positives > 0"""
 )
 def nt_xent_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """nt_xent over every row: each is an anchor within its own batch."""
+    """The contrastive loss of every row: each is an anchor within its own batch."""
     out = aggregates.contrastive(_batches(spark, sf), "vec_id", "label", "e", batch="batch")
     return out.where("positives > 0").select("anchor", "positives", r6("loss"))
 
@@ -169,7 +105,7 @@ def nt_xent_batches(spark: SparkSession, sf: str) -> DataFrame:
 SELECT anchor, round(hp, 6) AS hardest_positive, round(hn, 6) AS hardest_negative, round(greatest(hn - hp + 0.3, 0), 6) AS triplet FROM h WHERE hp IS NOT NULL AND hn IS NOT NULL"""
 )
 def hard_triplets_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """hard_triplets over every row, within batches."""
+    """The hardest positive and negative of every row, within its batch."""
     out = aggregates.triplet_loss(aggregates.contrastive(_batches(spark, sf), "vec_id", "label", "e", batch="batch"))
     return out.select("anchor", r6("hardest_positive"), r6("hardest_negative"), r6("triplet"))
 
