@@ -109,6 +109,17 @@ def test_one_process_in_blocks(library, words):
         got = bpe._assemble(own, made.filter(bpe.pc.equal(made["route"], block)))
         out |= dict(zip(got["doc_id"].to_pylist(), got["ids"].to_pylist()))
     assert [out[k] for k in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
+    with pytest.raises(ValueError, match="two ways"):  # as many pieces, but of another reading of the block
+        right = made.filter(bpe.pc.equal(made["route"], block))
+        at = right.column_names.index("digest")
+        bpe._assemble(own, right.set_column(at, "digest", bpe.pc.add(right["digest"], 1)))
+
+
+def test_digest_of_a_block():
+    pieces = [b"ab", b"c", b"", b"de"]
+    others = [pieces[::-1], [b"a", b"bc", b"", b"de"], pieces[:-1], [b"abc", b"", b"de"], []]
+    assert bpe.block_digest(pieces) == bpe.block_digest(list(pieces))
+    assert len({bpe.block_digest(p) for p in [pieces, *others]}) == 6
 
 
 def test_query_against_the_library(spark, sf, library):

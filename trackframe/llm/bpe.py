@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -242,9 +243,16 @@ BLOCK_CHARS = 1 << 22
 REPLAY_BYTES = 1 << 17
 #: Kinds of rows.
 DOCUMENT, ORDER, PIECES = 0, 1, 2
+#: ``doc_id`` of a row of pieces or of their order is a digest of the block's pieces.
 SPLIT = "route long, kind byte, doc_id long, block long, data binary"
 
 
+def block_digest(pieces: list[bytes]) -> int:
+    """63 bits that tell a block's pieces in their order from others."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return xxhash.xxh3_64_intdigest(lengths.tobytes() + b"".join(pieces)) >> 1
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -259,9 +267,10 @@ def _split(path: str, pattern: str, buckets: int):
         bucket = np.fromiter(map(zlib.crc32, pieces), np.uint32, len(pieces)) % buckets
         order = np.argsort(bucket, kind="stable")
         found, start = np.unique(bucket[order], return_index=True)
-        rows = [(block, ORDER, None, None, packed(order))]
+        digest = block_digest(pieces)
+        rows = [(block, ORDER, digest, None, packed(order))]
         for b, part in zip(found.tolist(), np.split(order, start[1:])):
-            rows.append((-1 - b, PIECES, None, block, pack_pieces([pieces[k] for k in part.tolist()])))
+            rows.append((-1 - b, PIECES, digest, block, pack_pieces([pieces[k] for k in part.tolist()])))
         yield _rows(rows, schema)
         for k in range(0, len(ids), 1000):
             yield _rows([(block, DOCUMENT, i, None, packed(x)) for i, x in zip(ids[k : k + 1000], numbers[k : k + 1000])], schema)
@@ -288,7 +297,7 @@ def _split(path: str, pattern: str, buckets: int):
 
 def _replay(path: str, pattern: str):
     """Lists of pieces, by bucket, to the ids of every piece, for the block that a list is from."""
-    schema = pa.schema([("route", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("route", pa.int64()), ("bucket", pa.int64()), ("digest", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
@@ -296,13 +305,13 @@ def _replay(path: str, pattern: str):
 
         def encoded() -> pa.RecordBatch:
             made = words.encode_pieces([unpack_pieces(data) for *_, data in held])
-            return _rows([(block, bucket, packed(*m)) for (bucket, block, _), m in zip(held, made)], schema)
+            return _rows([(block, bucket, digest, packed(*m)) for (bucket, digest, block, _), m in zip(held, made)], schema)
 
         for batch in batches:
             lists = batch.filter(pc.equal(batch.column(1), PIECES))
-            for row in zip(*(lists.column(k).to_pylist() for k in (0, 3, 4))):
+            for row in zip(*(lists.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
                 if size > REPLAY_BYTES:
                     yield encoded()
                     held, size = [], 0
@@ -321,9 +330,10 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     parts = [unpacked(data) for _, data in made]
     data = left["data"].to_pylist()
     orders = [unpacked(data[k])[0] for k in np.flatnonzero(kind == ORDER)]
+    digests = {left["doc_id"][int(k)].as_py() for k in np.flatnonzero(kind == ORDER)} | set(right["digest"].to_pylist())
     many = np.concatenate([*(n for n, _ in parts), np.zeros(0, np.uint8)]).astype(np.int64)
     ids = np.concatenate([*(x for _, x in parts), np.zeros(0, np.uint8)]).astype(np.int32)
-    if len(orders) != 1 or len(orders[0]) != len(many):
+    if len(orders) != 1 or len(digests) != 1 or len(orders[0]) != len(many):
         raise ValueError("a block was split in two ways: its rows come in another order each time they are read")
     first, by_number = np.cumsum(many) - many, np.empty(len(many), np.int64)
     by_number[orders[0]] = np.arange(len(many))
@@ -341,7 +351,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     pieces. No special tokens: their strings are ordinary text. Null and empty texts have
     no ids; a null doc_id stays null; repeated rows are encoded each; other columns are
     ignored; an empty table gives an empty one. The rows must be read again in the same order if a task is
-    repeated, as those of files are.
+    repeated, as those of files are; a block whose pieces come from two different readings is an error, told by a digest of them.
 
     Shuffled are, packed, the documents as piece numbers and the different pieces of each block, in one
     exchange that two steps read, and the ids of the latter. A bucket has pieces of all blocks, each once; there are
@@ -353,7 +363,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
     dealt = picked.mapInArrow(_split(path, pattern, buckets), SPLIT).repartition("route")
     # Each step takes the rows of its kinds in Python: Catalyst would move a filter below the exchange and so make two of it.
-    made = dealt.sortWithinPartitions("route").mapInArrow(_replay(path, pattern), "route long, bucket long, data binary")
+    made = dealt.sortWithinPartitions("route").mapInArrow(_replay(path, pattern), "route long, bucket long, digest long, data binary")
     return dealt.groupBy("route").cogroup(made.groupBy("route")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
