@@ -88,3 +88,11 @@ def test_one_document_of_each_group_whatever_its_id(spark, sf):
     assert sorted(((r.doc_id, r.text[0]) for r in mixed), key=str) == want
     one = docs.where("text like 'c%'")  # a single null id took every null id along
     assert corpus_pipeline.near_dedup(spark, one.unionByName(docs.where("doc_id is null and text like 'f%'")).unionByName(docs.where("doc_id = 5")), sf).count() == 2
+
+
+def test_every_event_is_a_frame(spark, sf):
+    n, users = (count(sf, f"select count({c}) from '{{sf}}/events.parquet'") for c in ("*", "distinct user_id"))
+    made = QUERIES["skeleton_quality"](spark, sf).collect()
+    assert sum(r.n_frames for r in made) == n and len(made) == users
+    exported = QUERIES["bvh_export"](spark, sf).collect()
+    assert sum(r.n_frames for r in exported) == n and all(r.bvh.count("JOINT") == 21 for r in exported)

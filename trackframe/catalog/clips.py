@@ -1,4 +1,4 @@
-"""Clips: metadata, quality, statistics, pipelines over synthetic skeletons."""
+"""Clips: metadata, quality, statistics."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from trackframe.catalog.base import BY, IDX, TRACKS, query, r6, read, tracks
 from trackframe.catalog.sequences import RUNS, VELOCITY, labelled, run_table, with_velocity
 from trackframe.operators import aggregates, clips, segments, windows
 from trackframe.operators.smoothing import upper_median_of
-from trackframe.plans import match
-from trackframe.plans.config import Config
-from trackframe.sources import readers, writers
 
 
 @query(
@@ -191,58 +188,3 @@ def class_vote(spark: SparkSession, sf: str) -> DataFrame:
     packed = one.groupBy("user_id").agg(F.array(*(F.sum(F.get("_a", F.lit(k))) for k in range(4))).alias("probabilities"))
     out = segments.mean_probabilities(packed, BY, "probabilities")
     return out.select("user_id", F.col("label").cast("long"), r6("confidence"))
-
-
-# Whole skeletons, from a generator
-
-
-def _frames(spark: SparkSession) -> DataFrame:
-    parts = [readers.walker(spark, 90, v, track=k) for k, v in enumerate((50.0, 100.0, 200.0, 400.0))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.unionByName(readers.demo(spark).withColumn("track_id", F.lit(9)))
-
-
-@query()
-def skeleton_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return clips.quality(_frames(spark), ["track_id"]).drop("rejections")
-
-
-@query()
-def skeleton_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return clips.fingerprint(_frames(spark), ["track_id"]).drop("vector")
-
-
-@query()
-def skeleton_features(spark: SparkSession, sf: str) -> DataFrame:
-    return clips.cluster_features(_frames(spark), ["track_id"])
-
-
-@query()
-def skeleton_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return clips.fallback_embedding(_frames(spark), ["track_id"])
-
-
-@query()
-def skeleton_segments(spark: SparkSession, sf: str) -> DataFrame:
-    config = Config(cluster=Config().cluster.__class__(enabled=False))
-    _, found, _ = match.build(_frames(spark), config)
-    return found
-
-
-@query()
-def skeleton_database(spark: SparkSession, sf: str) -> DataFrame:
-    config = Config(cluster=Config().cluster.__class__(k=3, iterations=5))
-    smooth, _, ranges = match.build(_frames(spark), config)
-    return match.database(smooth, ranges, config).clips.drop("rejections", "vector", "embedding")
-
-
-@query()
-def bvh_export(spark: SparkSession, sf: str) -> DataFrame:
-    return writers.bvh_clips(_frames(spark), ["track_id"])
-
-
-@query()
-def json_export(spark: SparkSession, sf: str) -> DataFrame:
-    return writers.json_clips(_frames(spark), ["track_id"], F.concat(F.lit("track_"), F.col("track_id").cast("string")))
