@@ -96,3 +96,32 @@ def test_every_event_is_a_frame(spark, sf):
     assert sum(r.n_frames for r in made) == n and len(made) == users
     exported = QUERIES["bvh_export"](spark, sf).collect()
     assert sum(r.n_frames for r in exported) == n and all(r.bvh.count("JOINT") == 21 for r in exported)
+
+
+def test_index_search_by_blocks(spark, sf):
+    """Scores and ties are those of a sum over all pairs, whatever the block, and no join of rows with queries makes the pairs."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) as e")
+    df = df.unionByName(df.selectExpr("vec_id + 100000 as vec_id", "e")).repartition(3)  # copies: ties that the key decides
+    odd = spark.createDataFrame([(900001, None), (900002, [1.0]), (900003, [None] * 64)], "vec_id long, e array<double>")
+    queries = df.where("vec_id % 50 = 0").selectExpr("vec_id as q", "e")
+    for cells in (None, 20):
+        index = search.VectorIndex.build(df.unionByName(odd), "vec_id", "e", cells=cells)
+        found = index.search_join(queries, "q", 7)
+        assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+        got = {(r.q, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+        blocks = index.search_join(queries, "q", 7, max_queries=9)
+        assert got == {(r.q, r["rank"]): (r.vec_id, r.score) for r in blocks.collect()}
+        assert len(got) == 7 * queries.count()
+        for q in queries.where("q = 50").collect():
+            one = index.search(list(q.e), 7).collect()
+            assert [got[q.q, r["rank"]] for r in one] == [(r.vec_id, r.score) for r in one]
+
+
+def test_nearest_centroid_is_that_of_the_plain_sum(spark):
+    from trackframe.operators import clustering
+
+    near = spark.createDataFrame([(0, [0.1, 0.3]), (1, [0.1, 0.3]), (2, [0.3, 0.1]), (7, [5.0, 5.0])], "cluster int, centroid array<double>")
+    rows = [(1, [0.1, 0.3]), (2, [0.2, 0.2]), (3, [4.0, 9.0]), (4, None), (5, [1.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1e200, 0.0])]
+    df = spark.createDataFrame(rows, "k int, e array<double>")
+    got = {r.k: r.cluster for r in clustering.assigned(df, near, "e").collect()}
+    assert got == {1: 0, 2: 0, 3: 7, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
