@@ -125,3 +125,15 @@ def test_nearest_centroid_is_that_of_the_plain_sum(spark):
     df = spark.createDataFrame(rows, "k int, e array<double>")
     got = {r.k: r.cluster for r in clustering.assigned(df, near, "e").collect()}
     assert got == {1: 0, 2: 0, 3: 7, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
+
+
+def test_labels_are_written_before_segments_use_them_twice(spark, sf, monkeypatch):
+    from trackframe.catalog import skeletons
+    from trackframe.plans import match, signals
+    from trackframe.plans.config import Config
+
+    seen, plain = [], match.segment
+    monkeypatch.setattr(match, "segment", lambda labelled, *a: seen.append(labelled) or plain(labelled, *a))
+    off = signals.SignalConfig(False, False, False, False, False)
+    _, found, _ = match.build(skeletons.frames(spark, sf).where("track_id < 3"), Config(signal=off, segment_before_canonical=True))
+    assert found.count() > 0 and "Window" not in seen[0]._jdf.queryExecution().toString()
